@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bunko.session import table
+from bunko.session import materialize, table
 
 # Letters of other scripts and the Latin letters of the same shape.
 SAME_SHAPE = {
@@ -85,8 +85,7 @@ def skeleton(value: str | None) -> str | None:
         return value
     to, replaced = _prototypes()
     text = unicodedata.normalize("NFD", value.replace("\r\n", "\n"))
-    if max(text, default="") >= "\U000e0000":
-        text = _TAGS.sub("", text)
+    text = _TAGS.sub("", text)
 
     def swap(m: re.Match) -> str:
         run = m.group()
@@ -162,7 +161,7 @@ def same_look_pairs(keys: DataFrame) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = look_keys(table(spark, sf_dir, "corpus_files"), "relpath", "file_id", "relpath")
     pages = look_keys(table(spark, sf_dir, "extracted_pages"), "text", "page_id", "text")
-    return same_look_pairs(files.unionByName(pages))
+    return same_look_pairs(materialize(files.unionByName(pages)))
 
 
 def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
