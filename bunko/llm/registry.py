@@ -1,7 +1,7 @@
 """Queries of all operators for training text."""
 
-from bunko.llm import lookalike, near_duplicates
+from bunko.llm import byte_pairs, lookalike, mixing, near_duplicates, splitting, token_budget
 
-_MODULES = (lookalike, near_duplicates)
+_MODULES = (splitting, token_budget, lookalike, near_duplicates, byte_pairs, mixing)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
