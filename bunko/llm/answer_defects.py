@@ -147,6 +147,8 @@ class Features:
             plain = _CODE_NAMES.sub(" ", raw)
             running = not item and not fence and (len(re.findall(r"[A-Za-zÀ-ÿ]+", plain)) >= 5 or len(re.findall(r"[ぁ-ゖ]", plain)) >= 2 or lang == "zh")
             hanging = bool(_HANGING.search(raw)) and not fence
+            # what follows a finished sentence on the same line is a sentence too
+            running |= last and i > 0 and not item and not fence and not ended and bool(_TERMINAL.search(parts[i - 1])) and not _ITEM.match(parts[i - 1])
             open_item = item and not ended and self._short_item(raw, parts[:i])
             cue = bool(_REFUSAL.search(raw))
             outside = bool(_REFUSAL.search(_QUOTED.sub("", raw)))
