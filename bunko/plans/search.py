@@ -1,2 +1,97 @@
-QUERIES = {}
-ORACLES = {}
+"""Retrieval queries (BM25, dense, fusion, grep)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bunko.operators import search
+from bunko.session import table
+
+ASKED = [(1, "refresh lag of the old system"), (2, "stock refill design note"), (3, "運用係 受領一覧 検証"), (4, "Testumgebung Bericht"), (5, "the the report of the auditor")]
+PATTERN = "(?i)(auditor|監査役|Prüfstelle)"
+
+
+def _asked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ASKED, "qid bigint, query string")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+
+
+def _shape(df: DataFrame) -> DataFrame:
+    return df.select("qid", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank0").cast("bigint").alias("rank0"))
+
+
+def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shape(search.bm25(_docs(spark, sf_dir), _asked(spark), "doc_id", "text", 8))
+
+
+def bm25_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keep = F.lower(F.coalesce("source", F.lit(""))).contains("drive") & F.lower(F.coalesce("lang", F.lit(""))).contains("en")
+    return _shape(search.bm25(_docs(spark, sf_dir), _asked(spark), "doc_id", "text", 8, keep))
+
+
+def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    stats = search.term_statistics(search.postings(docs, "doc_id", "text"), docs)
+    return stats.where("df >= 20").select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return vectors, vectors.where("id IN (1, 2, 3, 4, 5)").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+
+
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = search.dense(*_vectors(spark, sf_dir), 10)
+    return near.select("qid", F.col("id").alias("vec_id"), F.round("score", 5).alias("score"), F.col("rank0").cast("bigint").alias("rank0"))
+
+
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexical = search.bm25(_docs(spark, sf_dir), _asked(spark), "doc_id", "text", search.POOL)
+    return _shape(search.fuse(lexical, search.dense(*_vectors(spark, sf_dir)), 20))
+
+
+def grep_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.best_lines(search.grep(_docs(spark, sf_dir), "doc_id", "text", PATTERN), 100).withColumnRenamed("id", "doc_id")
+
+
+def grep_count_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    found = search.grep(docs, "doc_id", "text", PATTERN).groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n"))
+    return docs.join(found, "doc_id").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_lines"))
+
+
+QUERIES = {f.__name__: f for f in (bm25_search, bm25_search_filtered, bm25_term_stats, dense_topk, rrf_fusion, grep_lines, grep_count_by_source)}
+
+_TOKENS = r"""
+list_concat(list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''), list_transform(regexp_extract_all({0}, '[A-Za-z0-9_.\-]{{2,}}'), lambda x: lower(x)))"""
+_BM25 = (
+    "WITH q(qid, query) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in ASKED) + "), "
+    "tok AS (SELECT doc_id, " + _TOKENS.format("text") + " AS t FROM documents), "
+    "p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tok) GROUP BY ALL), "
+    "dl AS (SELECT doc_id, coalesce(len(t), 0) AS dl FROM tok), "
+    "raw AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM documents) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p GROUP BY term), "
+    "idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw), "
+    "a AS (SELECT qid, unnest(" + _TOKENS.format("query") + ") AS term FROM q), "
+    "s AS (SELECT qid, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM dl)))) AS score FROM a JOIN p USING (term) JOIN idf USING (term) JOIN dl USING (doc_id) GROUP BY ALL), "
+)
+_RANKED = "r AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank0 FROM s {0}) "
+_PICK = "SELECT qid::BIGINT AS qid, doc_id, round(score, 6) AS score, rank0 FROM r WHERE rank0 < 8 AND score > 0"
+_DENSE = "SELECT a.vec_id AS qid, b.vec_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a, embeddings b WHERE a.vec_id IN (1, 2, 3, 4, 5)"
+_LINES = "SELECT doc_id, source, unnest(regexp_split_to_array(text, '\\r\\n|\\r|\\n')) AS line, generate_subscripts(regexp_split_to_array(text, '\\r\\n|\\r|\\n'), 1) AS line_no FROM documents"
+ORACLES = {
+    "bm25_search": _BM25 + _RANKED.format("") + _PICK,
+    "bm25_search_filtered": _BM25 + _RANKED.format("JOIN documents USING (doc_id) WHERE lower(coalesce(source, '')) LIKE '%drive%' AND lower(coalesce(lang, '')) LIKE '%en%'") + _PICK,
+    "bm25_term_stats": _BM25 + "z AS (SELECT 1) SELECT term, df, round(idf, 6) AS idf FROM idf WHERE df >= 20",
+    "dense_topk": f"SELECT qid, vec_id, round(score, 5) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) - 1 AS rank0 FROM ({_DENSE}) QUALIFY rank0 < 10",
+    "rrf_fusion": _BM25
+    + _RANKED.format("")
+    + f", d AS (SELECT qid, vec_id AS doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) - 1 AS rank0 FROM ({_DENSE})), "
+    "f AS (SELECT qid, doc_id, round(coalesce(1.0::DOUBLE / (60 + a.rank0), 0) + coalesce(1.0::DOUBLE / (60 + b.rank0), 0), 6) AS score FROM (SELECT * FROM r WHERE rank0 < 200 AND score > 0) a FULL JOIN (SELECT * FROM d WHERE rank0 < 200) b USING (qid, doc_id)) "
+    "SELECT qid::BIGINT AS qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id DESC) - 1 AS rank0 FROM f QUALIFY rank0 < 20",
+    "grep_lines": f"SELECT doc_id, line_no::INT AS line_no, substr(trim(line, ' '), 1, 220) AS line FROM ({_LINES}) WHERE regexp_matches(line, '{PATTERN}') ORDER BY doc_id, line_no LIMIT 100",
+    "grep_count_by_source": f"SELECT source, count(DISTINCT doc_id) AS n_docs, count(*) AS n_lines FROM ({_LINES}) WHERE regexp_matches(line, '{PATTERN}') GROUP BY source",
+}
