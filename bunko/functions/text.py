@@ -37,7 +37,7 @@ def numbers(text: Column) -> Column:
 
 def elements(text: Column) -> Column:
     """Parts of an enumeration."""
-    return F.filter(F.transform(F.split(text, "[、,]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "[、,]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def strip_markup(text: Column) -> Column:
