@@ -163,11 +163,27 @@ def test_near_pages_against_brute_force(spark, shards, monkeypatch):
     if shards:
         monkeypatch.setattr(near_duplicates, "RECORDS_PER_SHARD", 3)
         monkeypatch.setattr(near_duplicates, "INLINE_SHARDS", 4)
+        monkeypatch.setattr(near_duplicates, "BROADCAST_ENDS", 0)
     got = {(r.id_a, r.id_b) for r in near_duplicates.near_pages(pages(spark, texts)).collect()}
     rows = [(i, i, lookalike.comparable(t)) for i, t in enumerate(texts) if t and len(lookalike.comparable(t)) >= 200]
     assert got == brute(rows, 5, 0.7)
 
 
+def test_marks_packed_and_back():
+    marks = np.array([0, 3, 3, 250, 255, 0, 1, 7, 255, 0], dtype=np.uint8)
+    assert near_duplicates._unpack_marks(near_duplicates._pack_marks(marks)).tolist() == marks.tolist()
+    assert near_duplicates._unpack_marks(near_duplicates._pack_marks(marks[:0])).tolist() == []
+
+
+def test_least_sum_loses_no_agreeing_posting():
+    rng = np.random.default_rng(1)
+    a, b, limit = rng.integers(60, 4000, 20000), rng.integers(60, 4000, 20000), rng.integers(1, 2000, 20000)
+    mark = rng.integers(0, 256, 20000).astype(np.uint8)
+    agree = mark.astype(np.int64) * limit <= 255 * (near_duplicates.differences(a, b, 0.7) + 4)
+    need = near_duplicates.least_sum(mark, limit, 0.7, 4)
+    assert (need[agree] <= (a + b)[agree]).all()
+
+
 def test_near_names_against_brute_force(spark):
     rnd = random.Random(6)
     rows = []
