@@ -184,6 +184,25 @@ def test_least_sum_loses_no_agreeing_posting():
     assert (need[agree] <= (a + b)[agree]).all()
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.7, 0.8, 0.95, 1.0])
+def test_no_partner_is_beyond_the_next_band(threshold):
+    plan = near_duplicates.bands(threshold)
+    assert all(a[1] == b[0] for a, b in zip(plan, plan[1:]))
+    assert all(np.floor((a[1] - 1) / threshold + 1e-9) < b[1] for a, b in zip(plan, plan[1:]))
+
+
+def test_all_size_ratios_against_brute_force(spark):
+    rnd = random.Random(8)
+    rows = []
+    for g in range(3):
+        base = [chr(0x4E00 + c) for c in rnd.sample(range(20_000), 151)]
+        rows += [(1000 * g + n, n, "".join(base[: n + 1])) for n in range(30, 151)]
+    files = spark.createDataFrame([(i, f"{v}.txt", "P") for i, _, v in rows], "file_id bigint, relpath string, project string")
+    got = {(r.id_a, r.id_b) for r in near_duplicates.near_names(files).collect()}
+    want = brute([(i, i, lookalike.comparable(v)) for i, _, v in rows], 2, 0.7)
+    assert got == want and any(a % 1000 <= 55 and b % 1000 >= 65 for a, b in want)
+
+
 def test_near_names_against_brute_force(spark):
     rnd = random.Random(6)
     rows = []
