@@ -41,6 +41,7 @@ INSIDE = 4.0
 
 _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[ぁ-ゖ]+|[ァ-ヺー]+|[一-龥々]+|\d+")
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_HIRAGANA, _IDEOGRAPH = re.compile(r"[ぁ-ゖ]"), re.compile(r"[一-龥]")
 _END = re.compile(r"[。．.!?！？…:：;；][」』）)\]”’\"'*`]*$")
 _SENTENCE_END = re.compile(r"[。．.!?！？…][」』）)\]”’\"'*`]*$")
 _BULLET = re.compile(r"^\s*(?:[-*+–—]\s+|[•・■□◆◇○●◎▪▫→►★☆※]\s*|[(（]?(?:\d{1,3}|[A-Za-z]|[ivxIVX]{1,5})[.)）、]\s+|[①-⑳]\s*|\[[ xX]\]\s+)\S")
@@ -67,15 +68,15 @@ _QUOTED = re.compile(r'"[^"\n]*"')
 
 
 def detect(text: str, common: dict[str, frozenset]) -> str:
-    sample = text[:4000] if len(text) > 4000 else text
-    kana, han = len(re.findall(r"[ぁ-ゖ]", sample)), len(re.findall(r"[一-龥]", sample))
-    if kana * 20 > len(sample) or kana and kana * 4 > han:
+    """Language of the whole text."""
+    kana, han = len(_HIRAGANA.findall(text)), len(_IDEOGRAPH.findall(text))
+    if kana * 20 > len(text) or kana and kana * 4 > han:
         return "ja"
-    if han * 5 > len(sample):
+    if han * 5 > len(text):
         return "zh"
-    seen = Counter(w.lower() for w in _LATIN.findall(sample))
+    seen = Counter(w.lower() for w in _LATIN.findall(text))
     hits = {k: sum(seen[w] for w in v) for k, v in common.items() if k not in ("ja", "zh")}
-    return max(sorted(hits), key=hits.get) if hits and max(hits.values()) else "ja" if kana or re.search(r"[ァ-ヺ]", sample) else "en"
+    return max(sorted(hits), key=hits.get) if hits and max(hits.values()) else "ja" if kana or re.search(r"[ァ-ヺ]", text) else "en"
 
 
 class Meter:

@@ -240,6 +240,19 @@ def test_kinds(spark):
     assert text_quality.quality(docs.limit(0), common).count() == 0
 
 
+def test_language_is_told_from_the_whole_text():
+    common = {"en": ["the", "of", "is"], "de": ["der", "und", "ist"], "ja": ["です"], "zh": ["的"]}
+    lower = {k: frozenset(v) for k, v in common.items()}
+    head = "The report of the team is here. " * 150
+    assert len(head) > 4000
+    assert text_quality.detect(head + "これは日本語の文章です。" * 1000, lower) == "ja"
+    assert text_quality.detect(head + "这份报告是团队的。" * 2000, lower) == "zh"
+    assert text_quality.detect(head + "Der Bericht und der Plan ist fertig. " * 400, lower) == "de"
+    assert text_quality.detect(head, lower) == "en"
+    got = text_quality.Meter(common).measure(head + "これは日本語の文章です。" * 1000, None)
+    assert got["language"] == "ja" and got["common_share"] > 0
+
+
 def test_agreement_with_raters(spark):
     got = {r.doc_id: r.kind for r in text_quality.p8_statistics(spark, "/root/testdata/sf0.01").select("doc_id", "kind").collect()}
     labels = table(spark, "/root/testdata/sf0.01", "quality_labels").collect()
