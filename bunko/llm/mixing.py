@@ -1,15 +1,16 @@
 """Problem 7: mix documents of several sources to target shares of all tokens.
 
-Tokens (byte_bpe_50k) are added up per source. The mix is as large as it can be with every share reached: its total is
-the least of max_repeats * tokens / target_share over the sources that have tokens; `total_tokens` asks for another
-total, and sources that can't fill their share of it are then used max_repeats times and fall short, which the report
-shows. A source's rate is its share of the total over its tokens. Each document comes out floor(rate) times, plus once
-more if the hash of its id and the seed, as a number in [0, 1), is below the rest: the same copies in every run, on any
-cluster, and never more than max_repeats.
+Tokens (byte_bpe_50k) are added up per source. Each source is to have its target share of all tokens there are; one that
+can't fill it is used max_repeats times and falls short, which the report shows (`short`, and the share reached beside
+the target). `total_tokens` asks for another total, and `reachable` for the largest at which every share is reached: the
+least of max_repeats * tokens / target_share over the sources that have tokens, so that the scarcest source then thins
+all others. A source's rate is its share of the total over its tokens. Each document comes out floor(rate) times, plus
+once more if the hash of its id and the seed, as a number in [0, 1), is below the rest: the same copies in every run, on
+any cluster, and never more than max_repeats.
 
 Documents without tokens (null and empty texts) add nothing and are left out. A source without a row in the targets
-(null too) gets rate 0 and is reported with a null target; a target whose source has no tokens is reported with 0. Of
-repeated target rows the first by share counts.
+(null too) gets rate 0 and is reported with a null target; a target whose source has no tokens is reported with 0
+and as short. Of repeated target rows the first by share counts.
 """
 
 from __future__ import annotations
@@ -30,17 +31,19 @@ def sizes(docs: DataFrame, path: str | None = None) -> DataFrame:
     return rows.mapInArrow(lambda it: counted(it, path, 2), "doc_id bigint, source string, n_tokens bigint")
 
 
-def rates(sized: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> DataFrame:
-    """(source, target_share, max_repeats, n_docs, tokens, rate) of every source in either table."""
+def rates(sized: DataFrame, targets: DataFrame, total_tokens: float | None = None, reachable: bool = False) -> DataFrame:
+    """(source, target_share, max_repeats, n_docs, tokens, rate, short) of every source in either table."""
     have = sized.groupBy("source").agg(F.count_if(F.col("n_tokens") > 0).alias("n_docs"), F.sum("n_tokens").alias("tokens"))
     want = targets.groupBy("source").agg(F.min(F.struct("target_share", "max_repeats")).alias("t")).select("source", "t.target_share", "t.max_repeats")
     both = have.join(want, have["source"].eqNullSafe(want["source"]), "full").select(
         F.coalesce(have["source"], want["source"]).alias("source"), "target_share", "max_repeats", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_docs", "tokens"))
     )
     can = F.when((F.col("tokens") > 0) & (F.col("target_share") > 0), F.col("max_repeats") * F.col("tokens") / F.col("target_share"))
-    total = both.agg(F.min(can).alias("total")) if total_tokens is None else sized.sparkSession.range(1).select(F.lit(float(total_tokens)).alias("total"))
-    rate = F.least(F.col("target_share") * F.col("total") / F.nullif("tokens", F.lit(0)), F.col("max_repeats"))
-    return both.crossJoin(total).select(*both.columns, F.round(F.coalesce(rate, F.lit(0.0)), 9).alias("rate"))
+    total = both.agg((F.min(can) if reachable else F.sum("tokens").cast("double")).alias("total")) if total_tokens is None else sized.sparkSession.range(1).select(F.lit(float(total_tokens)).alias("total"))
+    wanted = F.col("target_share") * F.col("total")
+    rate = F.least(wanted / F.nullif("tokens", F.lit(0)), F.col("max_repeats"))
+    short = F.coalesce(wanted > F.col("max_repeats") * F.col("tokens") * (1 + 1e-9), F.lit(False))
+    return both.crossJoin(total).select(*both.columns, F.round(F.coalesce(rate, F.lit(0.0)), 9).alias("rate"), short.alias("short"))
 
 
 def mix(sized: DataFrame, rate_of: DataFrame, seed: int = SEED) -> DataFrame:

@@ -100,6 +100,19 @@ def test_mix(spark):
     assert mixing.mix(sized.limit(0), mixing.rates(sized.limit(0), targets)).count() == 0
 
 
+def test_a_scarce_source_does_not_shrink_the_mix(spark):
+    rows = [(i, "big", 100) for i in range(2000)] + [(9000, "tiny", 10)]
+    sized = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("big", 0.9, 1), ("tiny", 0.06, 3), ("gone", 0.04, 2)], "source string, target_share double, max_repeats int")
+    rate_of = mixing.rates(sized, targets)
+    got = {r.source: r for r in mixing.report(mixing.mix(sized, rate_of), rate_of).collect()}
+    assert abs(got["big"].mix_tokens / 200_010 - 0.9) < 0.03 and not got["big"].short
+    assert got["tiny"].copies == 3 and got["tiny"].short and got["tiny"].actual_share < 0.001
+    assert got["gone"].short and got["gone"].actual_share == 0
+    least = mixing.rates(sized, targets, reachable=True)
+    assert {r.source: r.rate for r in least.where("tokens > 0").collect()} == {"big": round(0.9 * 500 / 200_000, 9), "tiny": 3.0}
+
+
 # Problem 3
 
 
