@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from bunko.functions.text import tokens
 
 K1, B, EPSILON, POOL, RRF = 1.5, 0.75, 0.25, 200, 60
+# Queries and vectors that meet in a task, and vectors worked on at once.
+QUERY_BLOCK, VECTOR_GROUP, CHUNK = 256, 16_384, 4096
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -44,35 +46,48 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int
     return out.withColumn("rank0", rank).where(f"rank0 < {min(k, POOL)} AND score > 0")
 
 
+def nearest(vectors, queries, k: int):
+    """The best k of one group of vectors for one block of queries; `near` is the score in the form it is ranked by."""
+    import numpy as np
+    import pyarrow as pa
+
+    def matrix(column):
+        flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        return flat.reshape(len(column), -1)
+
+    kind = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64()), ("near", pa.float64())])
+    if not vectors.num_rows or not queries.num_rows:
+        return kind.empty_table()
+    qid, q = queries.column("qid").to_numpy(), matrix(queries.column("q"))
+    # in the order of ids, so that a stable sort leaves ties in it
+    vectors = vectors.sort_by("id")
+    top_id, top, top_near = np.zeros((len(qid), 0), dtype=np.int64), *np.zeros((2, len(qid), 0))
+    for at in range(0, vectors.num_rows, CHUNK):
+        part = vectors.slice(at, CHUNK)
+        scores = q @ matrix(part.column("v")).T
+        ids = np.broadcast_to(part.column("id").to_numpy(), scores.shape)
+        top_id, top, top_near = (np.concatenate(x, axis=1) for x in ((top_id, ids), (top, scores), (top_near, np.round(scores, 9))))
+        best = np.argsort(-top_near, axis=1, kind="stable")[:, :k]
+        top_id, top, top_near = (np.take_along_axis(x, best, axis=1) for x in (top_id, top, top_near))
+    return pa.table([np.repeat(qid, top.shape[1]), top_id.ravel(), top.ravel(), top_near.ravel()], schema=kind)
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int = POOL) -> DataFrame:
-    """(qid, id, score, rank0): nearest vectors (id, v) by dot product for a bounded set of query vectors (qid, q).
+    """(qid, id, score, rank0): nearest vectors (id, v) by dot product for any number of query vectors (qid, q).
 
-    Each task keeps the best k of its rows per query, so that what is ranked at the end is k rows a task and query.
+    Queries fall into blocks and vectors into groups by hash; each block meets each group in a task of bounded size, which
+    keeps the best k per query. The driver gets two numbers of rows.
     """
-    asked = [(r.qid, list(r.q)) for r in queries.select("qid", "q").collect()]
-
-    def best(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        q = np.array([v for _, v in asked], dtype=np.float64)
-        ids, scores = np.zeros(0, dtype=np.int64), np.zeros((len(asked), 0))
-        for b in batches:
-            if not b.num_rows:
-                continue
-            m = np.stack([np.asarray(v, dtype=np.float64) for v in b.column(1).to_pylist()])
-            ids = np.concatenate([ids, b.column(0).to_numpy()])
-            scores = np.concatenate([scores, q @ m.T], axis=1)
-            if len(ids) > 8 * k:
-                keep = np.unique(np.argsort(-scores, axis=1, kind="stable")[:, :k])
-                ids, scores = ids[keep], scores[:, keep]
-        for (qid, _), s in zip(asked, scores):
-            top = np.lexsort((ids, -s))[:k]
-            yield pa.RecordBatch.from_pydict({"qid": pa.array([qid] * len(top), pa.int64()), "id": pa.array(ids[top], pa.int64()), "score": pa.array(s[top], pa.float64())})
-
-    near = vectors.where("v IS NOT NULL").select(F.col("id").cast("bigint"), "v").mapInArrow(best, "qid bigint, id bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "id")) - 1
-    return near.withColumn("rank0", rank).where(f"rank0 < {k}")
+    vectors = vectors.where("v IS NOT NULL").select(F.col("id").cast("bigint"), "v")
+    queries = queries.where("q IS NOT NULL").select(F.col("qid").cast("bigint"), "q")
+    n_blocks, n_groups = (max(1, -(-x.count() // size)) for x, size in ((queries, QUERY_BLOCK), (vectors, VECTOR_GROUP)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    asked = queries.select("qid", "q", place("qid", n_blocks).alias("block"), every(n_groups).alias("group"))
+    held = vectors.select("id", "v", every(n_blocks).alias("block"), place("id", n_groups).alias("group"))
+    near = held.groupBy("block", "group").cogroup(asked.groupBy("block", "group")).applyInArrow(lambda v, q: nearest(v, q, k), "qid bigint, id bigint, score double, near double")
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("near"), "id")) - 1
+    return near.withColumn("rank0", rank).where(f"rank0 < {k}").drop("near")
 
 
 def fuse(lexical: DataFrame, near: DataFrame, k: int) -> DataFrame:

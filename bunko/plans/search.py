@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bunko.operators import search
 from bunko.session import table
 
 ASKED = [(1, "refresh lag of the old system"), (2, "stock refill design note"), (3, "運用係 受領一覧 検証"), (4, "Testumgebung Bericht"), (5, "the the report of the auditor")]
+EACH = 100
 PATTERN = "(?i)(auditor|監査役|Prüfstelle)"
 
 
@@ -24,13 +25,20 @@ def _shape(df: DataFrame) -> DataFrame:
     return df.select("qid", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank0").cast("bigint").alias("rank0"))
 
 
+def _kept() -> Column:
+    return F.lower(F.coalesce("source", F.lit(""))).contains("drive") & F.lower(F.coalesce("lang", F.lit(""))).contains("en")
+
+
+def _near_shape(near: DataFrame) -> DataFrame:
+    return near.select("qid", F.col("id").alias("vec_id"), F.round("score", 5).alias("score"), F.col("rank0").cast("bigint").alias("rank0"))
+
+
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shape(search.bm25(_docs(spark, sf_dir), _asked(spark), "doc_id", "text", 8))
 
 
 def bm25_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keep = F.lower(F.coalesce("source", F.lit(""))).contains("drive") & F.lower(F.coalesce("lang", F.lit(""))).contains("en")
-    return _shape(search.bm25(_docs(spark, sf_dir), _asked(spark), "doc_id", "text", 8, keep))
+    return _shape(search.bm25(_docs(spark, sf_dir), _asked(spark), "doc_id", "text", 8, _kept()))
 
 
 def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +53,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = search.dense(*_vectors(spark, sf_dir), 10)
-    return near.select("qid", F.col("id").alias("vec_id"), F.round("score", 5).alias("score"), F.col("rank0").cast("bigint").alias("rank0"))
+    return _near_shape(search.dense(*_vectors(spark, sf_dir), 10))
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +61,35 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shape(search.fuse(lexical, search.dense(*_vectors(spark, sf_dir)), 20))
 
 
+# The searches with every row whose id is divisible by EACH as a query, against all rows.
+
+
+def _every_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where(F.col("doc_id") % EACH == 0).select(F.col("doc_id").alias("qid"), F.col("text").alias("query"))
+
+
+def _every_vector(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    vectors = _vectors(spark, sf_dir)[0]
+    return vectors, vectors.where(F.col("id") % EACH == 0).select(F.col("id").alias("qid"), F.col("v").alias("q"))
+
+
+def bm25_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shape(search.bm25(_docs(spark, sf_dir), _every_asked(spark, sf_dir), "doc_id", "text", 8))
+
+
+def bm25_search_filtered_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shape(search.bm25(_docs(spark, sf_dir), _every_asked(spark, sf_dir), "doc_id", "text", 8, _kept()))
+
+
+def dense_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near_shape(search.dense(*_every_vector(spark, sf_dir), 10))
+
+
+def rrf_fusion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexical = search.bm25(_docs(spark, sf_dir), _every_asked(spark, sf_dir), "doc_id", "text", search.POOL)
+    return _shape(search.fuse(lexical, search.dense(*_every_vector(spark, sf_dir)), 20))
+
+
 def grep_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.best_lines(search.grep(_docs(spark, sf_dir), "doc_id", "text", PATTERN), 100).withColumnRenamed("id", "doc_id")
 
@@ -64,7 +100,7 @@ def grep_count_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(found, "doc_id").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_lines"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_search, bm25_search_filtered, bm25_term_stats, dense_topk, rrf_fusion, grep_lines, grep_count_by_source)}
+QUERIES = {f.__name__: f for f in (bm25_search, bm25_search_filtered, bm25_term_stats, dense_topk, rrf_fusion, bm25_search_all, bm25_search_filtered_all, dense_topk_all, rrf_fusion_all, grep_lines, grep_count_by_source)}
 
 _TOKENS = r"""
 list_concat(list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''), list_transform(regexp_extract_all({0}, '[A-Za-z0-9_.\-]{{2,}}'), lambda x: lower(x)))"""
@@ -95,3 +131,12 @@ ORACLES = {
     "grep_lines": f"SELECT doc_id, line_no::INT AS line_no, substr(trim(line, ' '), 1, 220) AS line FROM ({_LINES}) WHERE regexp_matches(line, '{PATTERN}') ORDER BY doc_id, line_no LIMIT 100",
     "grep_count_by_source": f"SELECT source, count(DISTINCT doc_id) AS n_docs, count(*) AS n_lines FROM ({_LINES}) WHERE regexp_matches(line, '{PATTERN}') GROUP BY source",
 }
+
+
+def _every(sql: str) -> str:
+    """The oracle with every EACH-th row as a query."""
+    literals = _BM25[len("WITH q(qid, query) AS (") : _BM25.index("), tok AS")]
+    return sql.replace(literals, f"SELECT doc_id, text FROM documents WHERE doc_id % {EACH} = 0").replace("a.vec_id IN (1, 2, 3, 4, 5)", f"a.vec_id % {EACH} = 0")
+
+
+ORACLES |= {f"{k}_all": _every(ORACLES[k]) for k in ("bm25_search", "bm25_search_filtered", "dense_topk", "rrf_fusion")}

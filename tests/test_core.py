@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,28 @@ def test_bm25_of_nothing(spark):
     assert search.bm25(docs.limit(0), asked, "doc_id", "text", 5).count() == 0
 
 
+def test_dense_of_many_queries_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v = np.round(rng.normal(size=(300, 8)), 1)
+    v[200:] = v[:100]  # ties
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(900, None)], "id bigint, v array<double>")
+    asked = vectors.where("id % 3 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    for name, n in (("QUERY_BLOCK", 30), ("VECTOR_GROUP", 70), ("CHUNK", 11)):
+        monkeypatch.setattr(search, name, n)
+    monkeypatch.setattr(type(asked), "collect", None)  # queries stay off the driver
+    near = search.dense(vectors, asked, 10)
+    monkeypatch.undo()
+    got = {(r.qid, r.rank0): r.id for r in near.collect()}
+    order = {i: sorted(range(300), key=lambda j: (-round(float(v[i] @ v[j]), 9), j)) for i in range(0, 300, 3)}
+    assert got == {(i, n): order[i][n] for i in order for n in range(10)}
+
+
+def test_every_hundredth_row_is_a_query(spark):
+    near = plans.QUERIES["dense_topk_all"](spark, "/root/testdata/sf0.01")
+    ids = [r.vec_id for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").where("vec_id % 100 = 0").collect()]
+    assert {r.qid for r in near.collect()} == set(ids) and len(ids) > 0
+
+
 def test_lookup_prefers_exact_and_refuses_ambiguous(spark):
     files = spark.createDataFrame([("a/x.txt",), ("b/x.txt",), ("b/y.txt",), ("x.txt",), (None,)], "relpath string")
     asked = spark.createDataFrame([("x.txt",), ("y.txt",), ("a/x.txt",), ("q",)], "name string")
