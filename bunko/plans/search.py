@@ -41,10 +41,14 @@ def bm25_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shape(search.bm25(_docs(spark, sf_dir), _asked(spark), "doc_id", "text", 8, _kept()))
 
 
-def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bm25_term_stats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    stats = search.term_statistics(search.postings(docs, "doc_id", "text"), docs)
-    return stats.where("df >= 20").select("term", "df", F.round("idf", 6).alias("idf"))
+    return search.term_statistics(search.postings(docs, "doc_id", "text"), docs).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all terms the frequent ones, as its SQL has it."""
+    return bm25_term_stats_all(spark, sf_dir).where("df >= 20")
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -100,7 +104,7 @@ def grep_count_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(found, "doc_id").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_lines"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_search, bm25_search_filtered, bm25_term_stats, dense_topk, rrf_fusion, bm25_search_all, bm25_search_filtered_all, dense_topk_all, rrf_fusion_all, grep_lines, grep_count_by_source)}
+QUERIES = {f.__name__: f for f in (bm25_search, bm25_search_filtered, bm25_term_stats, bm25_term_stats_all, dense_topk, rrf_fusion, bm25_search_all, bm25_search_filtered_all, dense_topk_all, rrf_fusion_all, grep_lines, grep_count_by_source)}
 
 _TOKENS = r"""
 list_concat(list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''), list_transform(regexp_extract_all({0}, '[A-Za-z0-9_.\-]{{2,}}'), lambda x: lower(x)))"""
@@ -140,3 +144,4 @@ def _every(sql: str) -> str:
 
 
 ORACLES |= {f"{k}_all": _every(ORACLES[k]) for k in ("bm25_search", "bm25_search_filtered", "dense_topk", "rrf_fusion")}
+ORACLES["bm25_term_stats_all"] = _BM25 + "z AS (SELECT 1) SELECT term, df, round(idf, 6) AS idf FROM idf"

@@ -104,6 +104,12 @@ def test_every_hundredth_row_is_a_query(spark):
     assert {r.qid for r in near.collect()} == set(ids) and len(ids) > 0
 
 
+def test_term_statistics_of_rare_terms_too(spark):
+    got = plans.QUERIES["bm25_term_stats_all"](spark, DATA)
+    assert got.where("df = 1").count() > 0
+    assert got.count() == search.postings(spark.read.parquet(f"{DATA}/documents.parquet"), "doc_id", "text").select("term").distinct().count()
+
+
 def test_lookup_prefers_exact_and_refuses_ambiguous(spark):
     files = spark.createDataFrame([("a/x.txt",), ("b/x.txt",), ("b/y.txt",), ("x.txt",), (None,)], "relpath string")
     asked = spark.createDataFrame([("x.txt",), ("y.txt",), ("a/x.txt",), ("q",)], "name string")
