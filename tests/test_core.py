@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import re
 
 import duckdb
 import numpy as np
@@ -61,6 +62,23 @@ def test_text_functions(spark):
     assert one(spark, None, fn.normalize_answer) is None and one(spark, None, lambda c: fn.clip(c, 5)) is None
 
 
+def stripped(text):
+    out = re.sub(r"</?(?:u|mark|fill|color)(?:[ =:][^<>]*)?>", "", text)
+    out = re.sub(r"(?s)\*\*(.+?)\*\*", r"\1", out)
+    out = re.sub(r"(?s)~~(.+?)~~", r"\1", out)
+    out = re.sub(r"(?a)(?<![\w*])\*(?![ \t\n\x0b\f\r])([^*\n]+?)(?<![ \t\n\x0b\f\r])\*(?![\w*])", r"\1", out)
+    return re.sub(r"[ \t]{2,}", " ", out)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_markup_of_every_document(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = {r.doc_id: (r.text, r.n_chars) for r in plans.QUERIES["markup_stripped"](spark, folder).collect()}
+    want = {i: (None, None) if t is None else (stripped(t), len(stripped(t))) for i, t in docs.items()}
+    assert got == want and any(t and "**" not in t and "<" not in t and stripped(t) != t for t in docs.values())
+
+
 def test_delta_partitions_the_keys(spark):
     now = spark.createDataFrame([("a", "1", "x"), ("b", "2", "y"), ("c", None, "z")], "relpath string, md5 string, doc_id string")
     old = spark.createDataFrame([("a", "1", "x"), ("b", "3", "y"), ("c", None, "z"), ("d", "9", "w")], "relpath string, md5 string, doc_id string")
