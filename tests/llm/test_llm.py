@@ -175,13 +175,32 @@ def test_near_pages_against_brute_force(spark, shards, monkeypatch):
     texts += [None, "", "x" * 300, "x" * 300, "short"]
     if shards:
         monkeypatch.setattr(near_duplicates, "RECORDS_PER_SHARD", 3)
-        monkeypatch.setattr(near_duplicates, "INLINE_SHARDS", 4)
+        monkeypatch.setattr(near_duplicates, "MOST_SHARDS", 4)
         monkeypatch.setattr(near_duplicates, "BROADCAST_ENDS", 0)
     got = {(r.id_a, r.id_b) for r in near_duplicates.near_pages(pages(spark, texts)).collect()}
     rows = [(i, i, lookalike.comparable(t)) for i, t in enumerate(texts) if t and len(lookalike.comparable(t)) >= 200]
     assert got == brute(rows, 5, 0.7)
 
 
+def test_as_many_candidates_at_any_number_of_shards(spark):
+    values = near_duplicates.page_rows(table(spark, DATA.replace("0.001", "0.01"), "extracted_pages"))
+    found = [{(r.id_a, r.id_b) for r in near_duplicates.candidates(values, 5, 0.7, shards).collect()} for shards in (4, 30)]
+    rows = [(r.id, r.id, r.value) for r in values.collect()]
+    assert max(map(len, found)) <= 1.5 * min(map(len, found))
+    least = {}
+    for i, _, v in sorted(rows):
+        least.setdefault(v, i)
+    want = brute([(i, i, v) for v, i in least.items()], 5, 0.7)
+    assert all({(min(p), max(p)) for p in want} <= f for f in found) and len(want) > 10
+
+
+def test_classes_of_copies(spark):
+    same = "copied text of some length " * 10
+    texts = [same] * 50 + [same + "end", "other " * 60, "", None]
+    got = {r.id: (r["class"], r.n_links) for r in near_duplicates.class_links(near_duplicates.page_rows(pages(spark, texts)), 5, 0.7).collect()}
+    assert got == {**{i: (0, 1) for i in range(50)}, 50: (50, 1), 51: (51, 0)}
+
+
 def test_marks_packed_and_back():
     marks = np.array([0, 3, 3, 250, 255, 0, 1, 7, 255, 0], dtype=np.uint8)
     assert near_duplicates._unpack_marks(near_duplicates._pack_marks(marks)).tolist() == marks.tolist()
