@@ -1,8 +1,10 @@
 """Problem 2: exact numbers of tokens per text, and their totals by project or source, language and category.
 
-Each task splits its texts into the tokenizer's words and sends one row per distinct word of a block of texts, with the
-texts it occurs in and how often. Rows of a word meet in one partition, which encodes the word once and gives each text
-its share; shares of a text are added up, partially before they travel. A frequent word costs one row a block.
+Each task splits its texts into the tokenizer's words, a block of texts at a time. A word that occurs in FREQUENT or more
+texts of a block is encoded there, once. Of all others one row per block and word is sent, with the texts it occurs in
+and how often; rows of a word from TASKS_TOGETHER tasks meet in one partition, which encodes the word once and gives each
+text its share. Thus neither a word in every text nor one in some texts of each block gathers more than a bounded number
+of entries in a task, at any size. Shares of a text are added up, partially before they travel.
 
 The tokenizer (byte_bpe_50k) normalizes nothing, so words are taken from the texts as stored. Null, empty and missing
 texts have 0 tokens and stay in the result. Languages are reported by their lower-case main tag, missing and
@@ -25,12 +27,16 @@ from bunko.llm.lookalike import consistent_form_udf
 from bunko.session import table
 
 BLOCK_CHARS = 3_000_000
+FREQUENT = 32
+TASKS_TOGETHER = 64
 
 
-def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, texts, times): distinct words of a block of texts (text_key, text)."""
+def words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """(word, texts, times): distinct words of a block of texts (text_key, text); the row without a word has the tokens
+    that the block's frequent words bring to each text."""
     import regex
 
+    a = automaton(path)
     find = regex.compile(PATTERN).findall
     number: defaultdict[str, int] = defaultdict()
     number.default_factory = number.__len__
@@ -42,10 +48,23 @@ def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def block() -> pa.RecordBatch:
         each = (np.array(seen, dtype=np.int64) << 32) | np.repeat(np.arange(len(keys)), sizes)
         each, times = np.unique(each, return_counts=True)
-        offsets = np.searchsorted(each >> 32, np.arange(len(number) + 1)).astype(np.int32)
-        texts = np.array(keys, dtype=np.int64)[each & 0xFFFFFFFF]
-        lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (texts, times.astype(np.int32))]
-        return pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()), *lists], names=["word", "texts", "times"])
+        word, text, spelled = each >> 32, each & 0xFFFFFFFF, list(number)
+        n_texts = np.bincount(word, minlength=len(spelled))
+        often = np.flatnonzero(n_texts >= FREQUENT)
+        a.trim()
+        length = np.zeros(len(spelled))
+        length[often] = [len(a[spelled[w]]) // 4 for w in often]
+        tokens = np.bincount(text, length[word] * times, len(keys)).astype(np.int64)
+        rest = n_texts[word] < FREQUENT
+        kept = np.flatnonzero(n_texts < FREQUENT)
+        offsets = np.concatenate([[0], np.cumsum(n_texts[kept])])
+        texts, counts = np.array(keys, dtype=np.int64)[text[rest]], times[rest]
+        some = np.flatnonzero(tokens)
+        for k in np.array_split(some, max(1, len(some) // 2000)):
+            texts, counts, offsets = np.concatenate([texts, np.array(keys, dtype=np.int64)[k]]), np.concatenate([counts, tokens[k]]), np.append(offsets, offsets[-1] + len(k))
+        spelled = [spelled[w] for w in kept] + [None] * (len(offsets) - 1 - len(kept))
+        lists = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(x)) for x in (texts, counts.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array(spelled, pa.string()), *lists], names=["word", "texts", "times"])
 
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -75,7 +94,7 @@ def shares(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
     a = automaton(path)
     for batch in batches:
         a.trim()
-        length = np.array([len(a[w]) // 4 for w in batch.column(0).to_pylist()], dtype=np.int64)
+        length = np.array([1 if w is None else len(a[w]) // 4 for w in batch.column(0).to_pylist()], dtype=np.int64)
         texts, times = batch.column(1), batch.column(2)
         n = np.repeat(length, np.diff(texts.offsets.to_numpy())) * times.flatten().to_numpy()
         key, at = np.unique(texts.flatten().to_numpy(), return_inverse=True)
@@ -85,8 +104,11 @@ def shares(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
 def token_counts(texts: DataFrame, path: str | None = None) -> DataFrame:
     """(text_key, n_tokens) of the texts (text_key, text) that have any token; keys are unique."""
     path = path or vocabulary()
-    found = texts.select(F.col("text_key").cast("bigint"), F.col("text").cast("string")).mapInArrow(words, "word string, texts array<bigint>, times array<int>")
-    parts = found.repartition("word").mapInArrow(lambda it: shares(it, path), "text_key bigint, n bigint")
+    found = texts.select(F.col("text_key").cast("bigint"), F.col("text").cast("string")).mapInArrow(lambda it: words(it, path), "word string, texts array<bigint>, times array<int>")
+    # rows without a word go anywhere
+    place = F.coalesce(F.xxhash64("word"), F.get("texts", F.lit(0))).alias("place")
+    found = found.select("word", "texts", "times", place, F.floor(F.spark_partition_id() / TASKS_TOGETHER).alias("group"))
+    parts = found.repartition("group", "place").select("word", "texts", "times").mapInArrow(lambda it: shares(it, path), "text_key bigint, n bigint")
     return parts.groupBy("text_key").agg(F.sum("n").alias("n_tokens"))
 
 

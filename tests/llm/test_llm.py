@@ -79,6 +79,9 @@ def test_token_counts_equal_encoding(spark):
     a = byte_pairs.automaton(byte_pairs.vocabulary())
     want = {i: len(a.encode(t)) // 4 for i, t in enumerate([*ODD, "a b a b", "a b a b"]) if t}
     assert {r.text_key: r.n_tokens for r in token_budget.token_counts(texts).collect()} == want
+    often = spark.createDataFrame([(i, "the same words in all texts" + f" {i}" * (i % 3)) for i in range(300)], "text_key bigint, text string").repartition(3)
+    want = {r.text_key: len(a.encode(r.text)) // 4 for r in often.collect()}
+    assert {r.text_key: r.n_tokens for r in token_budget.token_counts(often).collect()} == want
     totals = token_budget.p2_totals(spark, DATA).collect()
     assert sum(r.n_texts for r in totals) == table(spark, DATA, "documents").count() + table(spark, DATA, "extracted_pages").count()
 
