@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import unicodedata
 
 import pandas as pd
@@ -10,6 +11,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_NUMBER = r"-?\d+(?:\.\d+)?"
+# Width forms of ASCII.
+_WIDE, _NARROW = "".join(chr(0xFEE0 + o) for o in range(0x21, 0x7F)), "".join(map(chr, range(0x21, 0x7F)))
+# The marks of formatted text, in the order in which they are taken off, and what stays of each.
+_MARKS = [
+    (r"(?s)\[c:[0-9A-Fa-f]{6}\](.*?)\[/c\]", "$1"),
+    (r"\[/c\]", ""),
+    (r"(?s)==(.*?)==\{[^}]*\}", "$1"),
+    (r"\{(?:shape-)?fill:[^}]*\}", ""),
+    (r"(?s)\{fml:(.*?)\}", "$1"),
+    (r"</?u>", ""),
+    (r"(?s)\*\*(.+?)\*\*", "$1"),
+    (r"(?s)~~(.+?)~~", "$1"),
+    (r"(?<!\*)\*(?!\*)([^*\n]+?)(?<!\*)\*(?!\*)", "$1"),
+    (r"[ \t]{2,}", " "),
+]
+# Scripts written without blanks between words.
+_RUN = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー"
+
+
 @F.pandas_udf(T.StringType())
 def nfc(values: pd.Series) -> pd.Series:
     """Canonical composition; null stays null."""
@@ -21,17 +42,21 @@ def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
 
+def _thousands(text: Column) -> Column:
+    """Without the commas that stand before exactly three digits."""
+    return F.regexp_replace(text, r"(?<=\d),(?=\d{3}(?!\d))", "")
+
+
 def normalize_answer(text: Column) -> Column:
-    """Form in which answers are compared: compatibility form, ASCII punctuation, no commas between digits, no white
-    space, lower case. Commas go before white space, so the function isn't idempotent."""
+    """Form in which answers are compared: compatibility form, ASCII punctuation, no thousands separators, no white space,
+    lower case. Commas go before white space, so the function isn't idempotent."""
     out = F.translate(F.trim(nfkc(text)), "：，、．％（）〜－―ー", ":,,.%()~---")
-    out = F.regexp_replace(out, r"(?<=\d),(?=\d)", "")
-    return F.lower(F.regexp_replace(out, r"\s+", ""))
+    return F.lower(F.regexp_replace(_thousands(out), r"[\s\u3000]+", ""))
 
 
 def numbers(text: Column) -> Column:
-    """All signed decimals of a text, in order."""
-    found = F.regexp_extract_all(F.regexp_replace(text, ",", ""), F.lit(r"(-?\d+(?:\.\d+)?)"), F.lit(1))
+    """All signed decimals of a text, in order; width forms count, thousands separators don't."""
+    found = F.regexp_extract_all(_thousands(nfkc(text)), F.lit(_NUMBER), F.lit(0))
     return F.transform(found, lambda x: x.cast("double"))
 
 
@@ -40,13 +65,46 @@ def elements(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "[、,]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def same_answer(a: Column, b: Column) -> Column:
+    """Equal in normal form, or the same numbers in the same order and what is left of one within the other. Null is
+    taken as empty."""
+    x, y = (F.coalesce(normalize_answer(c), F.lit("")) for c in (a, b))
+    m, n = (F.coalesce(numbers(c), F.array().cast("array<double>")) for c in (a, b))
+    u, v = (F.regexp_replace(c, _NUMBER, "") for c in (x, y))
+    return (x == y) | ((x != "") & (y != "") & (F.size(m) > 0) & (m == n) & (u.contains(v) | v.contains(u)))
+
+
+def same_elements(a: Column, b: Column) -> Column:
+    """The same set of parts, and not none."""
+    x, y = (F.array_sort(F.array_distinct(F.transform(elements(c), _plain))) for c in (a, b))
+    return F.coalesce((F.size(x) > 0) & (x == y), F.lit(False))
+
+
+def _plain(part: Column) -> Column:
+    out = F.translate(part, _WIDE + "：，、．％（）〜－―ー", _NARROW + ":,,.%()~---")
+    return F.lower(F.regexp_replace(_thousands(out), r"[\s\u3000]+", ""))
+
+
+def one_line(text: Column) -> Column:
+    """An answer as one line: without tags of tools and thoughts and fences, white space squeezed, quotes at the ends off."""
+    out = F.regexp_replace(text, r"(?i)</?(?:answer|invoke|parameter|function[^>]*|tool[^>]*)>|<\s*/?\s*thought[^>]*>?", "")
+    out = F.regexp_replace(F.trim(out), r"^```[a-zA-Z]*\s*|\s*```$", "")
+    out = F.trim(F.regexp_replace(F.regexp_replace(out, r"[\r\n\t]+", " "), " {2,}", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r'^"+|"+$', ""), "^[「」]+|[「」]+$", ""))
+
+
+def token_estimate(text: Column) -> Column:
+    """A rough number of tokens: half the characters."""
+    return F.floor(F.coalesce(F.length(text), F.lit(0)) / 2)
+
+
 def strip_markup(text: Column) -> Column:
-    """Remove colour, highlight and fill tags, underline, bold, strike and italic marks; blanks are squeezed."""
-    out = F.regexp_replace(text, r"(?s)</?(?:u|mark|fill|color)(?:[ =:][^<>]*)?>", "")
-    out = F.regexp_replace(out, r"(?s)\*\*(.+?)\*\*", "$1")
-    out = F.regexp_replace(out, r"(?s)~~(.+?)~~", "$1")
-    out = F.regexp_replace(out, r"(?s)(?<![\w*])\*(?!\s)([^*\n]+?)(?<!\s)\*(?![\w*])", "$1")
-    return F.regexp_replace(out, r"[ \t]{2,}", " ")
+    """Remove colour, highlight and fill marks, underline, bold, strike and italic; a formula mark leaves its formula;
+    blanks are squeezed."""
+    out = text
+    for pattern, kept in _MARKS:
+        out = F.regexp_replace(out, pattern, kept)
+    return out
 
 
 def clip(text: Column, n: int) -> Column:
@@ -75,7 +133,68 @@ def version_key(path: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Search terms: runs of letters and digits in lower case, then once more every ASCII term of two or more characters."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    """Search terms in lower case: words of letters and digits; of runs of ideographs and kana every two neighbours, or
+    the one there is; then once more every ASCII term of two or more characters, with its dots, dashes and underscores."""
+    low = F.lower(text)
+    words = F.filter(F.split(F.regexp_replace(low, f"[{_RUN}]+", " "), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    two = F.regexp_extract_all(low, F.lit(f"(?=([{_RUN}]{{2}}))"), F.lit(1))
+    one = F.filter(F.regexp_extract_all(low, F.lit(f"[{_RUN}]+"), F.lit(0)), lambda x: F.length(x) == 1)
     ascii_terms = F.transform(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9_.\-]{2,})"), F.lit(1)), F.lower)
-    return F.concat(words, ascii_terms)
+    return F.concat(words, two, one, ascii_terms)
+
+
+def glob_pattern(glob: str) -> str:
+    """Regular expression of a shell pattern whose * and ? cross folders."""
+    return f"(?s)^{fnmatch.translate(glob)}$"
+
+
+def safe_name(value: Column, fallback: str = "item") -> Column:
+    """A name that every file system takes: composed, no reserved characters or names, no dots and blanks at its end, at
+    most 120 characters."""
+    out = F.regexp_replace(F.regexp_replace(F.trim(nfc(F.coalesce(value, F.lit("")))), r'[<>:"/\\|?*\x00-\x1f]', "_"), "[. ]+$", "")
+    out = F.when(out == "", F.lit(fallback)).otherwise(out)
+    return F.substring(F.when(F.upper(out).rlike("^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$"), F.concat(F.lit("_"), out)).otherwise(out), 1, 120)
+
+
+def colour_name(hex6: Column) -> Column:
+    """Name of a colour RRGGBB by hue, saturation and value; empty for white."""
+    r, g, b = (F.conv(F.substring(hex6, at, 2), 16, 10).cast("double") / 255 for at in (1, 3, 5))
+    hi, lo = F.greatest(r, g, b), F.least(r, g, b)
+    span = F.nullif(hi - lo, F.lit(0.0))
+    hue = F.when(hi == r, (g - b) / span).when(hi == g, 2 + (b - r) / span).otherwise(4 + (r - g) / span) * 60
+    hue = F.coalesce(F.when(hue < 0, hue + 360).otherwise(hue), F.lit(0.0))
+    sat = F.coalesce((hi - lo) / F.nullif(hi, F.lit(0.0)), F.lit(0.0))
+    # fixed values: names and limits of hues
+    base = F.when((hue < 15) | (hue >= 345), "赤").when(hue < 48, F.when((sat > 0.5) & (hi < 0.6), "茶").otherwise("オレンジ")).when(hue < 68, "黄").when(hue < 165, "緑").when(hue < 210, "水色").when(hue < 255, "青").when(hue < 290, "紫").otherwise("ピンク")
+    grey = F.when(hi > 0.92, "").when(hi < 0.25, "黒").otherwise("グレー")
+    tone = F.when(hi < 0.35, F.concat(F.lit("濃"), base)).when((sat < 0.3) & (hi > 0.85), F.concat(F.lit("薄"), base)).otherwise(base)
+    return F.when(sat < 0.06, grey).otherwise(tone)
+
+
+def markdown_row(cells: Column) -> Column:
+    clean = F.transform(cells, lambda c: F.trim(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))))
+    return F.concat(F.lit("| "), F.array_join(clean, " | "), F.lit(" |"))
+
+
+def markdown_table(rows: Column) -> Column:
+    """A table of rows of cells: short rows are padded, the first is the header; empty for no cells."""
+    width = F.array_max(F.transform(rows, F.size))
+    full = F.transform(rows, lambda r: F.concat(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), F.array_repeat(F.lit(""), (width - F.size(r)).cast("int"))))
+    lines = F.transform(full, markdown_row)
+    rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), width))
+    table = F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.size(lines))), "\n")
+    return F.when(F.coalesce(width, F.lit(0)) == 0, "").otherwise(table)
+
+
+def floor_quantile(values: Column, q: float) -> Column:
+    """The element of the sorted values at the rank (n - 1) * q, rounded down; 0 for none."""
+    at = F.floor((F.size(values) - 1) * q).cast("int")
+    return F.when(F.size(values) == 0, 0).otherwise(F.get(F.array_sort(values), at))
+
+
+def region(text: Column) -> Column:
+    """The rectangle x0,y0,x1,y1 within 0 to 1, or null."""
+    at = F.transform(F.split(text, ","), lambda x: F.trim(x).try_cast("double"))
+    x = lambda i: F.get(at, F.lit(i))
+    ok = (F.size(at) == 4) & (x(0) >= 0) & (x(1) >= 0) & (x(2) <= 1) & (x(3) <= 1) & (x(0) < x(2)) & (x(1) < x(3))
+    return F.when(ok, F.struct(x(0).alias("x0"), x(1).alias("y0"), x(2).alias("x1"), x(3).alias("y1")))

@@ -2,48 +2,98 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bunko.functions.text import tokens
+from bunko.session import materialize
 
 K1, B, EPSILON, POOL, RRF = 1.5, 0.75, 0.25, 200, 60
 # Queries and vectors that meet in a task, and vectors worked on at once.
 QUERY_BLOCK, VECTOR_GROUP, CHUNK = 256, 16_384, 4096
+# Most (query, term) rows that are broadcast, about 40 bytes each.
+BROADCAST_TERMS = 100_000
+
+
+@dataclass
+class Index:
+    """A lexical index: postings (id, dl, term, tf), which hold each document once more without a term, and the terms
+    (term, df, idf) and totals (n, avgdl) made of them."""
+
+    postings: DataFrame
+    terms: DataFrame
+    totals: DataFrame
+
+    def save(self, path: str) -> None:
+        for name in ("postings", "terms", "totals"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Index:
+        """The index written to a folder; one whose totals disagree with its postings is refused."""
+        index = cls(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "totals")))
+        n, held = index.totals.first().n, index.postings.where("term IS NULL").count()
+        if n != held:
+            raise ValueError(f"index holds {held} documents, its totals say {n}")
+        return index
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf); texts without terms have none."""
-    terms = docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("term"))
-    return terms.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """(id, dl, term, tf); each document also has a row with a null term. The texts are read once."""
+    terms = docs.select(F.col(id_col).alias("id"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("t"))
+    each = terms.select("id", F.size("t").alias("dl"), F.explode(F.concat("t", F.array(F.lit(None).cast("string")))).alias("term"))
+    return each.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def term_statistics(posted: DataFrame, docs: DataFrame) -> DataFrame:
-    """(term, df, idf); a negative idf becomes EPSILON times the mean over all terms before that. docs counts all documents, those without terms too."""
-    n = docs.agg(F.count("*").cast("double").alias("n"))
-    df = posted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(n)
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+def term_statistics(posted: DataFrame, totals: DataFrame) -> DataFrame:
+    """(term, df, idf); a negative idf becomes EPSILON times the mean over all terms before that."""
+    df = posted.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))
+    raw = df.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    return raw.crossJoin(mean).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+
+
+def build(docs: DataFrame, id_col: str, text_col: str) -> Index:
+    """The index of all documents, its tables written to the shared folder; n counts documents without terms too."""
+    posted = materialize(postings(docs, id_col, text_col))
+    totals = materialize(posted.where("term IS NULL").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+    return Index(posted, materialize(term_statistics(posted, totals)), totals)
+
+
+def matches(df: DataFrame, project: str = "", category: str = "", filetype: str = "", mount: str = "") -> DataFrame:
+    """Rows whose project, category and mount contain the wanted text, whatever its case, and whose filetype is one of a
+    list; an empty argument asks for nothing, null columns are empty."""
+    for name, part in (("project", project), ("category", category), ("mount", mount)):
+        if part:
+            df = df.where(F.lower(F.coalesce(name, F.lit(""))).contains(part.lower()))
+    kinds = [k.strip().lower().lstrip(".") for k in filetype.split(",")] if filetype else []
+    return df.where(F.ltrim(F.lower(F.trim("filetype")), F.lit(".")).isin(kinds)) if kinds else df
+
+
+def top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
+    """The first k rows of each query with their rank0; the limit on the rank reaches the tasks before the exchange."""
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(*order))
+    return scored.withColumn("_rank", rank).where(F.col("_rank") <= k).withColumn("rank0", F.col("_rank") - 1).drop("_rank")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int, keep: Column | None = None) -> DataFrame:
+def bm25(index: Index, queries: DataFrame, k: int, keep: DataFrame | None = None) -> DataFrame:
     """(qid, id, score, rank0): the best k of each query (qid, query), over statistics of all documents.
 
-    Repeated query terms count repeatedly. The metadata filter `keep` only removes candidates. Postings are reduced to the
-    terms asked for before they are scored; the pool of a query is cut by a ranking window, ties by id.
+    Repeated query terms count repeatedly. `keep` (id) only removes candidates. Few query terms go to the postings,
+    many are joined by shuffling both; ties are ranked by id.
     """
-    posted = postings(docs, id_col, text_col)
-    length = docs.select(F.col(id_col).alias("id"), F.coalesce(F.size(tokens(F.col(text_col))), F.lit(0)).alias("dl"))
-    average = length.agg(F.avg("dl").alias("avgdl"))
     asked = queries.select("qid", F.explode(tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    scored = posted.join(asked, "term").join(term_statistics(posted, docs), "term").join(length, "id").crossJoin(average)
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    out = scored.groupBy("qid", "id").agg(F.sum(part).alias("score"))
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    small = F.broadcast if few else (lambda df: df)
+    weighed = small(index.terms.join(small(asked), "term").select("qid", "term", (F.col("times") * F.col("idf")).alias("weight")))
+    found = index.postings.where("term IS NOT NULL").join(weighed, "term").crossJoin(F.broadcast(index.totals))
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    out = found.groupBy("qid", "id").agg(F.sum(part).alias("score")).where("score > 0")
     if keep is not None:
-        out = out.join(docs.where(keep).select(F.col(id_col).alias("id")), "id", "left_semi")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "id")) - 1
-    return out.withColumn("rank0", rank).where(f"rank0 < {min(k, POOL)} AND score > 0")
+        out = out.join(keep, "id", "left_semi")
+    return top(out, min(k, POOL), F.round("score", 9).desc(), F.col("id"))
 
 
 def nearest(vectors, queries, k: int):
@@ -65,15 +115,18 @@ def nearest(vectors, queries, k: int):
     for at in range(0, vectors.num_rows, CHUNK):
         part = vectors.slice(at, CHUNK)
         scores = q @ matrix(part.column("v")).T
+        scores[~np.isfinite(scores)] = -np.inf
         ids = np.broadcast_to(part.column("id").to_numpy(), scores.shape)
         top_id, top, top_near = (np.concatenate(x, axis=1) for x in ((top_id, ids), (top, scores), (top_near, np.round(scores, 9))))
         best = np.argsort(-top_near, axis=1, kind="stable")[:, :k]
         top_id, top, top_near = (np.take_along_axis(x, best, axis=1) for x in (top_id, top, top_near))
-    return pa.table([np.repeat(qid, top.shape[1]), top_id.ravel(), top.ravel(), top_near.ravel()], schema=kind)
+    out = pa.table([np.repeat(qid, top.shape[1]), top_id.ravel(), top.ravel(), top_near.ravel()], schema=kind)
+    return out.filter(pa.array(np.isfinite(top_near.ravel())))
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = POOL) -> DataFrame:
-    """(qid, id, score, rank0): nearest vectors (id, v) by dot product for any number of query vectors (qid, q).
+    """(qid, id, score, rank0): nearest vectors (id, v) by dot product for any number of query vectors (qid, q);
+    scores that are not finite are left out.
 
     Queries fall into blocks and vectors into groups by hash; each block meets each group in a task of bounded size, which
     keeps the best k per query. The driver gets two numbers of rows.
@@ -86,8 +139,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = POOL) -> DataFrame:
     asked = queries.select("qid", "q", place("qid", n_blocks).alias("block"), every(n_groups).alias("group"))
     held = vectors.select("id", "v", every(n_blocks).alias("block"), place("id", n_groups).alias("group"))
     near = held.groupBy("block", "group").cogroup(asked.groupBy("block", "group")).applyInArrow(lambda v, q: nearest(v, q, k), "qid bigint, id bigint, score double, near double")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("near"), "id")) - 1
-    return near.withColumn("rank0", rank).where(f"rank0 < {k}").drop("near")
+    return top(near, k, F.desc("near"), F.col("id")).drop("near")
 
 
 def fuse(lexical: DataFrame, near: DataFrame, k: int) -> DataFrame:
@@ -95,8 +147,7 @@ def fuse(lexical: DataFrame, near: DataFrame, k: int) -> DataFrame:
     a, b = lexical.select("qid", "id", F.col("rank0").alias("a")), near.select("qid", "id", F.col("rank0").alias("b"))
     part = lambda c: F.coalesce(1.0 / (RRF + F.col(c)), F.lit(0.0))
     both = a.join(b, ["qid", "id"], "full").select("qid", "id", F.round(part("a") + part("b"), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("id"))) - 1
-    return both.withColumn("rank0", rank).where(f"rank0 < {k}")
+    return top(both, k, F.desc("score"), F.desc("id"))
 
 
 def grep(docs: DataFrame, id_col: str, text_col: str, pattern: str, width: int = 220) -> DataFrame:

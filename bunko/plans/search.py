@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bunko.operators import search
-from bunko.session import table
+from bunko.session import scratch, table
 
 ASKED = [(1, "refresh lag of the old system"), (2, "stock refill design note"), (3, "運用係 受領一覧 検証"), (4, "Testumgebung Bericht"), (5, "the the report of the auditor")]
 EACH = 100
@@ -33,17 +33,41 @@ def _near_shape(near: DataFrame) -> DataFrame:
     return near.select("qid", F.col("id").alias("vec_id"), F.round("score", 5).alias("score"), F.col("rank0").cast("bigint").alias("rank0"))
 
 
+def _index(spark: SparkSession, sf_dir: str) -> search.Index:
+    return search.build(_docs(spark, sf_dir), "doc_id", "text")
+
+
+def _kept_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).where(_kept()).select(F.col("doc_id").alias("id"))
+
+
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shape(search.bm25(_docs(spark, sf_dir), _asked(spark), "doc_id", "text", 8))
+    return _shape(search.bm25(_index(spark, sf_dir), _asked(spark), 8))
 
 
 def bm25_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shape(search.bm25(_docs(spark, sf_dir), _asked(spark), "doc_id", "text", 8, _kept()))
+    return _shape(search.bm25(_index(spark, sf_dir), _asked(spark), 8, _kept_ids(spark, sf_dir)))
+
+
+def bm25_search_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As bm25_search, on an index that was written to a folder and is read back."""
+    path = scratch(spark, "index")
+    _index(spark, sf_dir).save(path)
+    return _shape(search.bm25(search.Index.load(spark, path), _asked(spark), 8))
+
+
+def index_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir)
+    return index.totals.select("n", F.round("avgdl", 6).alias("avgdl")).crossJoin(index.terms.agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings")))
+
+
+def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "project", "category", "filetype", F.col("source").alias("mount"))
+    return search.matches(docs, category="a", filetype=" .MD, txt,pdf ,docx", mount="DRIVE").select("doc_id")
 
 
 def bm25_term_stats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    return search.term_statistics(search.postings(docs, "doc_id", "text"), docs).select("term", "df", F.round("idf", 6).alias("idf"))
+    return _index(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +85,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexical = search.bm25(_docs(spark, sf_dir), _asked(spark), "doc_id", "text", search.POOL)
+    lexical = search.bm25(_index(spark, sf_dir), _asked(spark), search.POOL)
     return _shape(search.fuse(lexical, search.dense(*_vectors(spark, sf_dir)), 20))
 
 
@@ -78,11 +102,11 @@ def _every_vector(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 
 def bm25_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shape(search.bm25(_docs(spark, sf_dir), _every_asked(spark, sf_dir), "doc_id", "text", 8))
+    return _shape(search.bm25(_index(spark, sf_dir), _every_asked(spark, sf_dir), 8))
 
 
 def bm25_search_filtered_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shape(search.bm25(_docs(spark, sf_dir), _every_asked(spark, sf_dir), "doc_id", "text", 8, _kept()))
+    return _shape(search.bm25(_index(spark, sf_dir), _every_asked(spark, sf_dir), 8, _kept_ids(spark, sf_dir)))
 
 
 def dense_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +114,7 @@ def dense_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rrf_fusion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexical = search.bm25(_docs(spark, sf_dir), _every_asked(spark, sf_dir), "doc_id", "text", search.POOL)
+    lexical = search.bm25(_index(spark, sf_dir), _every_asked(spark, sf_dir), search.POOL)
     return _shape(search.fuse(lexical, search.dense(*_every_vector(spark, sf_dir)), 20))
 
 
@@ -104,10 +128,15 @@ def grep_count_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(found, "doc_id").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_lines"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_search, bm25_search_filtered, bm25_term_stats, bm25_term_stats_all, dense_topk, rrf_fusion, bm25_search_all, bm25_search_filtered_all, dense_topk_all, rrf_fusion_all, grep_lines, grep_count_by_source)}
+QUERIES = {f.__name__: f for f in (bm25_search, bm25_search_filtered, bm25_search_loaded, index_totals, masked_documents, bm25_term_stats, bm25_term_stats_all, dense_topk, rrf_fusion, bm25_search_all, bm25_search_filtered_all, dense_topk_all, rrf_fusion_all, grep_lines, grep_count_by_source)}
 
-_TOKENS = r"""
-list_concat(list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''), list_transform(regexp_extract_all({0}, '[A-Za-z0-9_.\-]{{2,}}'), lambda x: lower(x)))"""
+# Terms told apart without look-arounds: runs of ideographs and kana are taken out, cut into neighbours by position.
+_RUNS = r"regexp_extract_all(lower({0}), '[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}ー]+')"
+_TOKENS = (
+    r"list_concat(list_concat(list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}ー]+', ' ', 'g'), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''), "
+    r"flatten(list_transform(" + _RUNS + r", lambda r: list_transform(range(1, greatest(length(r), 2)), lambda i: substr(r, i, 2))))), "
+    r"list_transform(regexp_extract_all({0}, '[A-Za-z0-9_.\-]{{2,}}'), lambda x: lower(x)))"
+)
 _BM25 = (
     "WITH q(qid, query) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in ASKED) + "), "
     "tok AS (SELECT doc_id, " + _TOKENS.format("text") + " AS t FROM documents), "
@@ -127,6 +156,9 @@ ORACLES = {
     "bm25_search_filtered": _BM25 + _RANKED.format("JOIN documents USING (doc_id) WHERE lower(coalesce(source, '')) LIKE '%drive%' AND lower(coalesce(lang, '')) LIKE '%en%'") + _PICK,
     "bm25_term_stats": _BM25 + "z AS (SELECT 1) SELECT term, df, round(idf, 6) AS idf FROM idf WHERE df >= 20",
     "dense_topk": f"SELECT qid, vec_id, round(score, 5) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) - 1 AS rank0 FROM ({_DENSE}) QUALIFY rank0 < 10",
+    "bm25_search_loaded": _BM25 + _RANKED.format("") + _PICK,
+    "index_totals": _BM25 + "z AS (SELECT 1) SELECT (SELECT count(*) FROM documents) AS n, (SELECT round(avg(dl), 6) FROM dl) AS avgdl, count(*) AS n_terms, sum(df) AS n_postings FROM idf",
+    "masked_documents": "SELECT doc_id FROM documents WHERE category ILIKE '%a%' AND source ILIKE '%drive%' AND ltrim(lower(trim(filetype)), '.') IN ('md', 'txt', 'pdf', 'docx')",
     "rrf_fusion": _BM25
     + _RANKED.format("")
     + f", d AS (SELECT qid, vec_id AS doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) - 1 AS rank0 FROM ({_DENSE})), "

@@ -50,16 +50,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, where that is unset (tests), a local one of our own."""
+    """The folder all executors share: spark.checkpoint.dir, or, where that is unset on a local master (tests), one of
+    our own. A cluster without such a folder is refused, as each executor would write to a disk of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="bunko-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    path = f"{shared_dir(spark)}/bunko-{kind}-{uuid.uuid4().hex}"
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return path
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, where a costly step would otherwise run in far fewer tasks; a large table is left alone."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if 2 * df.rdd.getNumPartitions() <= n else df
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table into the shared folder and read it back: cuts the lineage without depending on any executor."""
-    path = f"{shared_dir(df.sparkSession)}/bunko-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "table")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

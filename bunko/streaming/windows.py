@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bunko.session import shared_dir, table
+from bunko.session import scratch, table
 
 
 def _totals(df: DataFrame, window, *keys: str) -> DataFrame:
@@ -33,7 +31,7 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def finish(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what is there and give its result: in the shared folder, with its checkpoint beside it."""
-    spark, base = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    spark, base = stream.sparkSession, scratch(stream.sparkSession, "stream")
     schema = stream.schema
 
     def keep(batch: DataFrame, epoch: int) -> None:

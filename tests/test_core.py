@@ -52,10 +52,19 @@ def one(spark, value, f):
 def test_text_functions(spark):
     assert one(spark, " １,２３４ ％ＡＢ ", fn.normalize_answer) == "1234%ab"
     assert one(spark, "1, 234", fn.normalize_answer) == "1,234"
+    assert one(spark, "1,2,3", fn.normalize_answer) == "1,2,3" and one(spark, "1,2,3", fn.numbers) == [1.0, 2.0, 3.0]
+    assert one(spark, "１２ 1,234,567", fn.numbers) == [12.0, 1234567.0]
     assert one(spark, "1,234", fn.normalize_answer) == "1234"
     assert one(spark, "a 1,200 and -3.5", fn.numbers) == [1200.0, -3.5]
     assert one(spark, "x、 y,,z ", fn.elements) == ["x", "y", "z"]
-    assert one(spark, "**b** ~~s~~ <u>u</u> <mark=red>m</mark>  e", fn.strip_markup) == "b s u m e"
+    assert one(spark, "**b** ~~s~~ <u>u</u> [c:FF0000]r[/c]  ==h=={黄} {fill:#FF0000 赤}x {fml:=A1+2} *i*", fn.strip_markup) == "b s u r h x =A1+2 i"
+    same = lambda a, b, f: spark.createDataFrame([(a, b)], "a string, b string").select(f(F.col("a"), F.col("b")).alias("x")).first().x
+    assert same("５", "5ページ", fn.same_answer) and not same("5人", "5ページ", fn.same_answer) and same("1,200円", "1200円", fn.same_answer) and not same("", "5", fn.same_answer)
+    assert same("b、a", "Ａ,b,b", fn.same_elements) and not same("a", "a,b", fn.same_elements) and not same("", "", fn.same_elements)
+    assert one(spark, '<answer>```text "「a\n b」" ```</answer>', fn.one_line) == "a b"
+    assert one(spark, "CON", fn.safe_name) == "_CON" and one(spark, "a/b?. ", fn.safe_name) == "a_b_" and one(spark, None, fn.safe_name) == "item"
+    assert [one(spark, c, fn.colour_name) for c in ("FF0000", "FFFFFF", "000000", "FFD9B3", "00008B", "808080")] == ["赤", "", "黒", "薄オレンジ", "青", "グレー"]
+    assert one(spark, "0.1,0,0.5,1", fn.region).x1 == 0.5 and one(spark, "0.5,0,0.1,1", fn.region) is None and one(spark, "a", fn.region) is None
     assert one(spark, "old/a/Plan_v2_final.DOCX", fn.version_key) == "a/Plan.docx"
     assert one(spark, "a/Plan.docx", fn.version_key) == "a/Plan.docx"
     assert one(spark, "abc  def", lambda c: fn.clip(c, 5)) == "abc …"
@@ -63,11 +72,11 @@ def test_text_functions(spark):
 
 
 def stripped(text):
-    out = re.sub(r"</?(?:u|mark|fill|color)(?:[ =:][^<>]*)?>", "", text)
-    out = re.sub(r"(?s)\*\*(.+?)\*\*", r"\1", out)
-    out = re.sub(r"(?s)~~(.+?)~~", r"\1", out)
-    out = re.sub(r"(?a)(?<![\w*])\*(?![ \t\n\x0b\f\r])([^*\n]+?)(?<![ \t\n\x0b\f\r])\*(?![\w*])", r"\1", out)
-    return re.sub(r"[ \t]{2,}", " ", out)
+    out = re.sub(r"(?s)\[c:[0-9A-Fa-f]{6}\](.*?)\[/c\]", r"\1", text).replace("[/c]", "")
+    out = re.sub(r"(?s)==(.*?)==\{[^}]*\}", r"\1", out)
+    out = re.sub(r"(?s)\{fml:(.*?)\}", r"\1", re.sub(r"\{(?:shape-)?fill:[^}]*\}", "", out)).replace("<u>", "").replace("</u>", "")
+    out = re.sub(r"(?s)~~(.+?)~~", r"\1", re.sub(r"(?s)\*\*(.+?)\*\*", r"\1", out))
+    return re.sub(r"[ \t]{2,}", " ", re.sub(r"(?<!\*)\*(?!\*)([^*\n]+?)(?<!\*)\*(?!\*)", r"\1", out))
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
@@ -96,8 +105,18 @@ def test_fusion_is_symmetric_and_bounded(spark):
 def test_bm25_of_nothing(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "  ")], "doc_id bigint, text string")
     asked = spark.createDataFrame([(1, "a word")], "qid bigint, query string")
-    assert search.bm25(docs, asked, "doc_id", "text", 5).count() == 0
-    assert search.bm25(docs.limit(0), asked, "doc_id", "text", 5).count() == 0
+    assert search.bm25(search.build(docs, "doc_id", "text"), asked, 5).count() == 0
+    assert search.bm25(search.build(docs.limit(0), "doc_id", "text"), asked, 5).count() == 0
+
+
+def test_plan_of_a_search(spark):
+    plan = plans.QUERIES["bm25_search"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.count("Exchange hashpartitioning") <= 4
+
+
+def test_terms(spark):
+    got = one(spark, "受領一覧 a_b.md Grazuの設定 漢 x", fn.tokens)
+    assert sorted(got) == sorted(["a", "b", "md", "grazu", "x", "受領", "領一", "一覧", "の設", "設定", "漢", "a_b.md", "grazu"])
 
 
 def test_dense_of_many_queries_in_blocks(spark, monkeypatch):
@@ -125,7 +144,7 @@ def test_every_hundredth_row_is_a_query(spark):
 def test_term_statistics_of_rare_terms_too(spark):
     got = plans.QUERIES["bm25_term_stats_all"](spark, DATA)
     assert got.where("df = 1").count() > 0
-    assert got.count() == search.postings(spark.read.parquet(f"{DATA}/documents.parquet"), "doc_id", "text").select("term").distinct().count()
+    assert got.count() == search.postings(spark.read.parquet(f"{DATA}/documents.parquet"), "doc_id", "text").where("term IS NOT NULL").select("term").distinct().count()
 
 
 def test_lookup_prefers_exact_and_refuses_ambiguous(spark):
