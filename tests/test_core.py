@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from bunko import plans
 from bunko.functions import text as fn
 from bunko.operators import inventory as inv
-from bunko.operators import runs, search
+from bunko.operators import documents, runs, search
 
 DATA = "/root/testdata/sf0.001"
 
@@ -157,3 +157,29 @@ def test_pairing_is_first_in_first_out(spark):
     rows = [("r", 1, i, float(i), k, "t") for i, k in enumerate(["tool_call", "tool_call", "tool_result", "tool_call"])]
     e = spark.createDataFrame(rows, "run_id string, q_index int, seq bigint, t double, type string, tool string")
     assert {r.call_seq: r.result_seq for r in runs.pairs(e).collect()} == {0: 2, 1: None, 3: None}
+
+
+def test_chunks_hold_the_whole_text():
+    rnd = np.random.default_rng(3)
+    for _ in range(30):
+        text = "\n\n".join("\n".join("w" * int(rnd.integers(0, 300)) for _ in range(int(rnd.integers(1, 12)))) for _ in range(int(rnd.integers(1, 9))))
+        whole = [x for x in text.split("\n") if x.strip()]
+        assert [x for c in documents.pack(text, 200, False) for x in c.split("\n") if x.strip()] == whole
+        assert all(len(c) // 2 <= 320 for c in documents.pack(text, 200, False)) or len(documents.pack(text, 200, False)) == 1
+    assert documents.pack("short", 10, True) == ["short"] and documents.pack("aaaa\n" * 300, 100, True)[1].startswith("aaaa\naaaa")
+
+
+def test_tables_and_back(spark):
+    text = "x\n| a | b |\n|---|---|\n| 1 | **2** |\n\n| no rule |\n| here |\ny"
+    pages = spark.createDataFrame([(1, text), (2, None), (3, "")], "page_id bigint, text string")
+    rows = documents.table_rows(pages, "page_id", "text")
+    assert sorted((r.table_no, r.row_no, r.cells) for r in rows.collect()) == [(1, 0, ["a", "b"]), (1, 1, ["1", "2"])]
+    assert documents.rendered_tables(rows, "page_id").first().markdown == "| a | b |\n|---|---|\n| 1 | 2 |"
+    assert documents.table_rows(pages.limit(0), "page_id", "text").count() == 0
+
+
+def test_page_ranges_and_json(spark):
+    no = spark.range(1, 13).select(F.col("id").alias("no"))
+    got = lambda r: [x.no for x in no.where(documents.in_ranges(F.col("no"), r)).orderBy("no").collect()]
+    assert got("1-2, 4,11-") == [1, 2, 4, 11, 12] and got("-3") == [1, 2, 3] and got(None) == got("x") == list(range(1, 13))
+    assert documents.first_json('a } {"x": "}{", "y": {"z": 1}} {') == '{"x": "}{", "y": {"z": 1}}' and documents.first_json("{ {") is None
