@@ -158,17 +158,28 @@ def safe_name(value: Column, fallback: str = "item") -> Column:
 
 def colour_name(hex6: Column) -> Column:
     """Name of a colour RRGGBB by hue, saturation and value; empty for white."""
-    r, g, b = (F.conv(F.substring(hex6, at, 2), 16, 10).cast("double") / 255 for at in (1, 3, 5))
-    hi, lo = F.greatest(r, g, b), F.least(r, g, b)
-    span = F.nullif(hi - lo, F.lit(0.0))
-    hue = F.when(hi == r, (g - b) / span).when(hi == g, 2 + (b - r) / span).otherwise(4 + (r - g) / span) * 60
-    hue = F.coalesce(F.when(hue < 0, hue + 360).otherwise(hue), F.lit(0.0))
-    sat = F.coalesce((hi - lo) / F.nullif(hi, F.lit(0.0)), F.lit(0.0))
+    part = lambda at: F.conv(F.substring(hex6, at, 2), 16, 10).cast("double") / 255
+    # each step is a value of its own, so that expressions stay small
+    rgb = F.array(F.struct(part(1).alias("r"), part(3).alias("g"), part(5).alias("b")))
+    span = F.transform(rgb, lambda x: F.struct(x["r"].alias("r"), x["g"].alias("g"), x["b"].alias("b"), F.greatest(x["r"], x["g"], x["b"]).alias("hi"), F.least(x["r"], x["g"], x["b"]).alias("lo")))
+    hsv = F.transform(span, lambda x: F.struct(_hue(x).alias("hue"), F.coalesce((x["hi"] - x["lo"]) / F.nullif(x["hi"], F.lit(0.0)), F.lit(0.0)).alias("sat"), x["hi"].alias("hi")))
+    return F.get(F.transform(hsv, _colour), F.lit(0))
+
+
+def _hue(x: Column) -> Column:
+    r, g, b, hi = x["r"], x["g"], x["b"], x["hi"]
+    span = F.nullif(hi - x["lo"], F.lit(0.0))
+    hue = F.when(hi == r, (g - b) / span + F.when(g < b, 6).otherwise(0)).when(hi == g, 2 + (b - r) / span).otherwise(4 + (r - g) / span) * 60
+    return F.coalesce(hue, F.lit(0.0))
+
+
+def _colour(x: Column) -> Column:
+    hue, sat, hi = x["hue"], x["sat"], x["hi"]
     # fixed values: names and limits of hues
     base = F.when((hue < 15) | (hue >= 345), "赤").when(hue < 48, F.when((sat > 0.5) & (hi < 0.6), "茶").otherwise("オレンジ")).when(hue < 68, "黄").when(hue < 165, "緑").when(hue < 210, "水色").when(hue < 255, "青").when(hue < 290, "紫").otherwise("ピンク")
     grey = F.when(hi > 0.92, "").when(hi < 0.25, "黒").otherwise("グレー")
-    tone = F.when(hi < 0.35, F.concat(F.lit("濃"), base)).when((sat < 0.3) & (hi > 0.85), F.concat(F.lit("薄"), base)).otherwise(base)
-    return F.when(sat < 0.06, grey).otherwise(tone)
+    tone = F.when(hi < 0.35, "濃").when((sat < 0.3) & (hi > 0.85), "薄").otherwise("")
+    return F.when(sat < 0.06, grey).otherwise(F.concat(tone, base))
 
 
 def markdown_row(cells: Column) -> Column:

@@ -115,7 +115,7 @@ def rendered_tables(rows: DataFrame, key: str) -> DataFrame:
 def outline(pages: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line_no, level, title): headings of a text."""
     lines = pages.select(key, F.posexplode(F.split(F.col(text), LINE_BREAK)).alias("at", "line")).where(F.col("line").rlike(r"^#{1,6}\s+\S"))
-    return lines.select(key, (F.col("at") + 1).alias("line_no"), F.length(F.regexp_extract("line", "^(#+)", 1)).alias("level"), F.trim(F.regexp_extract("line", r"^#+\s+(.*)$", 1)).alias("title"))
+    return lines.select(key, (F.col("at") + 1).alias("line_no"), F.length(F.regexp_extract("line", "^(#+)", 1)).alias("level"), F.trim(F.regexp_extract("line", r"(?s)^#+\s+(.*)$", 1)).alias("title"))
 
 
 def version_chain(files: DataFrame) -> DataFrame:

@@ -176,7 +176,7 @@ ORACLES = {
     "pages_in_ranges": "SELECT page_id, no FROM extracted_pages WHERE no IN (1, 2, 4) OR no >= 9",
     "unread_pages": f"WITH p AS (SELECT *, sum(least(length(text), 4000)) OVER (PARTITION BY doc_id ORDER BY no ROWS UNBOUNDED PRECEDING) AS used FROM {_LAST} WHERE text IS NOT NULL) SELECT doc_id, no, length(text)::INT AS n_chars, concat_ws(' / ', " + ", ".join(f"CASE WHEN contains(text, '{k}') THEN '{v}' END" for k, v in ops.PAGE_MARKS) + ", CASE WHEN needs_vision THEN 'vision' END) AS marks FROM p WHERE used > 4000",
     "page_tables": "WITH " + _tables("extracted_pages", "page_id") + " SELECT page_id, table_no::INT AS table_no, row_no, len(cells) AS n_cells, array_to_string(cells, '¦') AS cells FROM cells",
-    "document_outline": f"SELECT doc_id, pos::INT AS line_no, length(regexp_extract(line, '^(#+)', 1))::INT AS level, trim(regexp_extract(line, '^#+\\s+(.*)$', 1), ' ') AS title FROM {_lines('documents', 'doc_id')} WHERE regexp_matches(line, '^#{{1,6}}\\s+\\S')",
+    "document_outline": f"SELECT doc_id, pos::INT AS line_no, length(regexp_extract(line, '^(#+)', 1))::INT AS level, trim(regexp_extract(line, '(?s)^#+\\s+(.*)$', 1), ' ') AS title FROM {_lines('documents', 'doc_id')} WHERE regexp_matches(line, '^#{{1,6}}\\s+\\S')",
     "version_chain": f"SELECT relpath, version_group, place::INT AS place, n_versions, before, after FROM {_CHAIN}",
     "catalogue": f"SELECT * FROM {_CATALOGUE}",
     "catalogue_tiles": f"SELECT count(DISTINCT project) AS n_projects, count(*) AS n_files, count(DISTINCT ext) AS n_types, sum(n_assets)::BIGINT AS n_assets, count(*) FILTER (n_peers > 0) AS n_with_peers FROM {_CATALOGUE}",
@@ -189,3 +189,4 @@ ORACLES = {
     "distinct_labels": f"SELECT doc_id, string_agg(label, ' / ' ORDER BY no, label) AS labels, count(*) AS n FROM (SELECT doc_id, label, min(no) AS no FROM {_LAST} WHERE label IS NOT NULL GROUP BY ALL) GROUP BY doc_id",
     "shared_contents": "SELECT md5(text) AS text_md5, count(DISTINCT doc_id) AS n_docs, count(*) AS n_pages, min(page_id) AS first_page FROM extracted_pages WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT doc_id) > 1",
 }
+ORACLES["version_groups"] = f"SELECT version_group, count(*) AS n_versions, min(relpath) AS first_path, max(relpath) AS last_path FROM {_VERSION} GROUP BY version_group HAVING count(*) > 1"

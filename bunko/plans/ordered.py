@@ -23,11 +23,11 @@ def ask_file_as_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def events_within_calls(spark: SparkSession, d: str) -> DataFrame:
-    """Responses of the model that came while a tool was at work in the same run, in any of its questions."""
+    """Events that came while a tool was at work in the same run, in any of its questions, the call and its result too."""
     events = _events(spark, d)
     calls = runs.pairs(events).where("NOT pending").join(events.select("run_id", "q_index", F.col("seq").alias("call_seq"), F.col("t").alias("t0")), ["run_id", "q_index", "call_seq"])
     spans = calls.select("run_id", F.col("tool"), F.col("t0").alias("start"), (F.col("t0") + F.col("seconds")).alias("end"))
-    points = events.where("type = 'llm_response'").select("run_id", "q_index", "seq", "t")
+    points = events.select("run_id", "q_index", "seq", "t")
     found = ops.within(points, spans, "run_id", "t", "start", "end", 60.0)
     return found.groupBy("run_id", "tool").agg(F.count("*").alias("n"), F.countDistinct("q_index", "seq").alias("n_events"))
 
@@ -47,8 +47,8 @@ def size_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbouring events of one type within a question, merged."""
-    return ops.runs(_events(spark, d), ["run_id", "q_index"], "seq", F.col("type")).withColumnRenamed("style", "type")
+    """Neighbouring events of one turn within a question, merged."""
+    return ops.runs(_events(spark, d), ["run_id", "q_index"], "seq", F.col("turn")).withColumnRenamed("style", "turn")
 
 
 def page_languages(spark: SparkSession, d: str) -> DataFrame:
@@ -110,12 +110,12 @@ _PREVIOUS = "(SELECT * FROM manifest WHERE relpath IS NOT NULL QUALIFY row_numbe
 _PAIRS = "(SELECT a.run_id, a.tool, a.t AS t0, a.t + round(b.t - a.t, 2) AS t1 FROM (SELECT *, row_number() OVER w AS nth FROM e WHERE type = 'tool_call' AND tool IS NOT NULL WINDOW w AS (PARTITION BY run_id, q_index, tool ORDER BY seq)) a JOIN (SELECT *, row_number() OVER w AS nth FROM e WHERE type = 'tool_result' AND tool IS NOT NULL WINDOW w AS (PARTITION BY run_id, q_index, tool ORDER BY seq)) b USING (run_id, q_index, tool, nth))"
 ORACLES = {
     "ask_file_as_of": "SELECT ask_id, file_id FROM (SELECT ask_id, substr(md5, 1, 2) AS k, asked_at FROM ask_cache WHERE md5 IS NOT NULL) a ASOF LEFT JOIN (SELECT substr(md5, 1, 2) AS k, scanned_at, max(file_id) AS file_id FROM corpus_files WHERE md5 IS NOT NULL AND scanned_at IS NOT NULL GROUP BY ALL) f ON a.k = f.k AND a.asked_at >= f.scanned_at",
-    "events_within_calls": f"WITH e AS {_EVENTS}, c AS {_PAIRS} SELECT c.run_id, c.tool, count(*) AS n, count(DISTINCT (e.q_index, e.seq)) AS n_events FROM e JOIN c ON e.run_id = c.run_id AND e.t BETWEEN c.t0 AND c.t1 WHERE e.type = 'llm_response' GROUP BY ALL",
+    "events_within_calls": f"WITH e AS {_EVENTS}, c AS {_PAIRS} SELECT c.run_id, c.tool, count(*) AS n, count(DISTINCT (e.q_index, e.seq)) AS n_events FROM e JOIN c ON e.run_id = c.run_id AND e.t BETWEEN c.t0 AND c.t1 GROUP BY ALL",
     "pages_in_limits": "SELECT page_id, kind, CASE WHEN n <= overlap_chars THEN 1 WHEN n <= max_chars THEN 2 ELSE 3 END::INT AS size_class FROM (SELECT page_id, ltrim(lower(trim(filetype)), '.') AS kind, length(text) AS n FROM extracted_pages WHERE text IS NOT NULL) p JOIN split_limits l ON p.kind = l.filetype WHERE kind IN ('pdf', 'xlsx', 'docx', 'pptx', 'md', 'txt') AND n <= 4 * max_chars",
     "size_clusters": "WITH v AS (SELECT lower(ext) AS kind, floor(size / 1000)::BIGINT AS kb, count(*) AS n FROM corpus_files WHERE size IS NOT NULL AND ext IS NOT NULL GROUP BY ALL), g AS (SELECT *, kb - lag(kb) OVER (PARTITION BY kind ORDER BY kb) AS gap FROM v), "
     "q AS (SELECT kind, list_sort(list(gap) FILTER (gap IS NOT NULL)) AS l FROM g GROUP BY kind), t AS (SELECT kind, greatest(1, floor(CASE WHEN l[floor((len(l) - 1) * 0.5)::INT + 1] > 0 AND l[-1] >= 2 * l[floor((len(l) - 1) * 0.5)::INT + 1] THEN l[floor((len(l) - 1) * 0.5)::INT + 1] * 3 ELSE l[floor((len(l) - 1) * 0.1)::INT + 1] * 0.9 END)) AS tol FROM q), "
     "c AS (SELECT g.*, sum(CASE WHEN gap > tol THEN 1 ELSE 0 END) OVER (PARTITION BY kind ORDER BY kb ROWS UNBOUNDED PRECEDING)::BIGINT AS cluster FROM g JOIN t USING (kind)) SELECT kind, cluster, min(kb) AS first, max(kb) AS last, sum(n)::BIGINT AS n FROM c GROUP BY kind, cluster",
-    "event_runs": f"SELECT run_id, q_index, type, min(seq) AS first, max(seq) AS last, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY run_id, q_index ORDER BY seq) - row_number() OVER (PARTITION BY run_id, q_index, type ORDER BY seq) AS g FROM {_EVENTS}) GROUP BY run_id, q_index, type, g",
+    "event_runs": f"SELECT run_id, q_index, turn, min(seq) AS first, max(seq) AS last, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY run_id, q_index ORDER BY seq) - row_number() OVER (PARTITION BY run_id, q_index, turn ORDER BY seq) AS g FROM {_EVENTS}) GROUP BY run_id, q_index, turn, g",
     "page_languages": "WITH p AS (SELECT page_id, doc_id, no, lower(nullif(trim(lang, ' '), 'und')) AS lang FROM extracted_pages WHERE doc_id IS NOT NULL) SELECT page_id, coalesce(lang, CASE WHEN last_value(lang IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY no, page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = first_value(lang IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY no, page_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) THEN last_value(lang IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY no, page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END) AS lang FROM p",
     "breaker_states": "WITH a AS (SELECT ask_id, engine, epoch_us(asked_at) / 1e6 AS t, error IS NOT NULL OR answer IS NULL AS f FROM ask_cache WHERE engine IS NOT NULL), i AS (SELECT *, sum(CASE WHEN f THEN 0 ELSE 1 END) OVER (PARTITION BY engine ORDER BY t, ask_id ROWS UNBOUNDED PRECEDING) AS g FROM a), "
     "s AS (SELECT *, sum(CASE WHEN f THEN 1 ELSE 0 END) OVER (PARTITION BY engine, g ORDER BY t, ask_id ROWS UNBOUNDED PRECEDING)::BIGINT AS streak FROM i) SELECT ask_id, streak, coalesce(t - max(CASE WHEN streak >= 3 THEN t END) OVER (PARTITION BY engine ORDER BY t, ask_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 36000, false) AS broken FROM s",

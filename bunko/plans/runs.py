@@ -92,6 +92,13 @@ def chain_stream(spark: SparkSession, d: str) -> DataFrame:
     return windows.streamed_unique(spark, d, "chain_events", runs.KEY)
 
 
+def late_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Events by ten minutes and type as they come in four slices, those more than twenty minutes late for their window
+    dropped."""
+    events = _events(spark, d).where("arrived_at IS NOT NULL").withColumn("at", F.timestamp_seconds(F.floor("t")))
+    return windows.replayed_tumbling(events, "at", "type", "arrived_at", 4, "10 minutes", "20 minutes")
+
+
 def pricing_summary(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
     price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
@@ -115,7 +122,7 @@ def top_customers_by_nation(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "chain_unique": chain_unique, "chain_summary": _on(runs.summaries), "chain_tool_paths": _on(runs.tool_paths), "event_pairing": _on(runs.pairs), "tool_usage": _on(runs.tool_usage), "run_latest_wins": _on(runs.latest_answers),
-} | {f.__name__: f for f in (run_totals, route_counts, slow_streaks, late_events, ask_latest, engine_comparison, answers_clipped, answer_numbers, answers_normalized, markup_stripped, event_windows, event_sliding, event_sessions, event_stream, chain_stream, pricing_summary, order_pivot, top_customers_by_nation)}
+} | {f.__name__: f for f in (run_totals, route_counts, slow_streaks, late_events, ask_latest, engine_comparison, answers_clipped, answer_numbers, answers_normalized, markup_stripped, event_windows, event_sliding, event_sessions, event_stream, chain_stream, late_stream, pricing_summary, order_pivot, top_customers_by_nation)}
 
 _E = "WITH e AS (SELECT * FROM chain_events QUALIFY row_number() OVER (PARTITION BY run_id, q_index, seq ORDER BY arrived_at) = 1)"
 _S = "SELECT run_id, q_index, max(turn) AS turns, round(sum(latency_sec), 3) AS latency_sec, sum(total_tokens) AS total_tokens, round(max(t) - min(t), 2) AS elapsed_sec, count(*) FILTER (type = 'tool_call') AS n_calls, max(seq) FILTER (type = 'answer') AS answer_seq, count(*) AS n_events FROM e GROUP BY run_id, q_index"
@@ -135,7 +142,6 @@ ORACLES = {
     "ask_latest": "SELECT md5, question, engine, substr(md5(question), 1, 12) AS question_key, ask_id, answer, confident, error, latency_sec, count(*) OVER (PARTITION BY md5, question, engine) AS n_asked FROM ask_cache WHERE md5 IS NOT NULL AND engine IS NOT NULL QUALIFY row_number() OVER (PARTITION BY md5, question, engine ORDER BY asked_at DESC, ask_id DESC) = 1",
     "engine_comparison": "SELECT engine, count(*) AS n, count(*) FILTER (error IS NULL AND regexp_matches(coalesce(answer, ''), '\\S')) AS n_ok, round(avg(latency_sec), 4) AS mean_sec, floor(avg(length(answer)) FILTER (error IS NULL AND regexp_matches(coalesce(answer, ''), '\\S')))::BIGINT AS mean_chars, count(*) FILTER (confident) AS n_confident, count(DISTINCT md5) AS n_images FROM ask_cache GROUP BY engine",
     "answers_clipped": f"SELECT ask_id, CASE WHEN length({_FLAT.format('answer')}) > 40 THEN substr({_FLAT.format('answer')}, 1, 39) || '…' ELSE {_FLAT.format('answer')} END AS short, CASE WHEN length(evidence) > 60 THEN substr(evidence, 1, 39) || chr(10) || '... [' || (length(evidence) - 60) || ' characters left out] ...' || chr(10) || right(evidence, 21) ELSE evidence END AS evidence FROM ask_cache",
-    "answer_numbers": r"WITH n AS (SELECT ask_id, regexp_extract_all(replace(answer, ',', ''), '(-?\d+(?:\.\d+)?)', 1)::DOUBLE[] AS x FROM ask_cache WHERE answer IS NOT NULL) SELECT ask_id, len(x) AS n, round(coalesce(list_sum(x), 0), 4) AS total FROM n",
     "event_windows": _WINDOW,
     "event_stream": _WINDOW,
     "event_sliding": "WITH x AS (SELECT *, time_bucket(INTERVAL 6 HOURS, ts) - to_hours(6 * k) AS window_start FROM events, range(4) r(k)) SELECT window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM x GROUP BY ALL",
@@ -145,3 +151,9 @@ ORACLES = {
     "order_pivot": "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'O') AS n_o, count(*) FILTER (o_orderstatus = 'P') AS n_p FROM orders GROUP BY 1",
     "top_customers_by_nation": "WITH s AS (SELECT o_custkey, sum(o_totalprice::DECIMAL(18, 2)) AS spent FROM orders GROUP BY 1) SELECT n_name, row_number() OVER (PARTITION BY n_name ORDER BY spent DESC, c_custkey) AS rank, c_custkey, spent::DOUBLE AS spent FROM customer JOIN s ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey QUALIFY rank <= 3",
 }
+ORACLES["late_stream"] = (
+    _E + ", x AS (SELECT type, floor(t)::BIGINT AS s, epoch_us(arrived_at) AS a FROM e WHERE arrived_at IS NOT NULL), "
+    "m AS (SELECT min(a) AS lo, max(a) AS hi FROM x), b AS (SELECT type, s, least(floor((a - lo) * 4.0 / greatest(hi - lo, 1)), 3)::INT AS k FROM x, m), "
+    "w AS (SELECT k, max(max(s)) OVER (ORDER BY k) - 1200 AS mark FROM b GROUP BY k), l AS (SELECT b.*, (SELECT max(mark) FROM w WHERE w.k < b.k) AS mark FROM b) "
+    "SELECT make_timestamp(s // 600 * 600 * 1000000) AS window_start, type, count(*) AS n FROM l WHERE mark IS NULL OR (s // 600 + 1) * 600 > mark GROUP BY ALL"
+)

@@ -63,7 +63,7 @@ def index_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "project", "category", "filetype", F.col("source").alias("mount"))
-    return search.matches(docs, category="a", filetype=" .MD, txt,pdf ,docx", mount="DRIVE").select("doc_id")
+    return search.matches(docs, category="分析", filetype=" .MD, txt,pdf ,docx", mount="DRIVE").select("doc_id")
 
 
 def bm25_term_stats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +158,7 @@ ORACLES = {
     "dense_topk": f"SELECT qid, vec_id, round(score, 5) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) - 1 AS rank0 FROM ({_DENSE}) QUALIFY rank0 < 10",
     "bm25_search_loaded": _BM25 + _RANKED.format("") + _PICK,
     "index_totals": _BM25 + "z AS (SELECT 1) SELECT (SELECT count(*) FROM documents) AS n, (SELECT round(avg(dl), 6) FROM dl) AS avgdl, count(*) AS n_terms, sum(df) AS n_postings FROM idf",
-    "masked_documents": "SELECT doc_id FROM documents WHERE category ILIKE '%a%' AND source ILIKE '%drive%' AND ltrim(lower(trim(filetype)), '.') IN ('md', 'txt', 'pdf', 'docx')",
+    "masked_documents": "SELECT doc_id FROM documents WHERE category LIKE '%分析%' AND source ILIKE '%drive%' AND ltrim(lower(trim(filetype)), '.') IN ('md', 'txt', 'pdf', 'docx')",
     "rrf_fusion": _BM25
     + _RANKED.format("")
     + f", d AS (SELECT qid, vec_id AS doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) - 1 AS rank0 FROM ({_DENSE})), "

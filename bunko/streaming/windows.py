@@ -43,14 +43,49 @@ def finish(stream: DataFrame, mode: str) -> DataFrame:
     return done
 
 
-def streamed_tumbling(spark: SparkSession, sf_dir: str, name: str, size: str, late: str = "400 days") -> DataFrame:
+def streamed_tumbling(spark: SparkSession, sf_dir: str, name: str, size: str, late: str = "2 days") -> DataFrame:
     events = read_stream(spark, sf_dir, name).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     # updates of one window may come in several batches; the last, with the largest count, holds
     updates = finish(tumbling(events, size), "update")
     return updates.groupBy("window_start", "event_type").agg(F.max(F.struct("n", "total")).alias("x")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "x.n", "x.total")
 
 
-def streamed_unique(spark: SparkSession, sf_dir: str, name: str, key: list[str], late: str = "400 days") -> DataFrame:
+def streamed_unique(spark: SparkSession, sf_dir: str, name: str, key: list[str], late: str = "2 days") -> DataFrame:
     rows = read_stream(spark, sf_dir, name)
     ts = rows.withColumn("arrived_at", F.col("arrived_at").cast("timestamp")).withWatermark("arrived_at", late)
     return finish(ts.dropDuplicatesWithinWatermark(key).select(*key, "type"), "append").groupBy("type").agg(F.count("*").alias("n"))
+
+
+def slices(rows: DataFrame, at: str, n: int) -> DataFrame:
+    """Rows with a `slice` from 0 to n - 1: equal spans of time from the first to the last."""
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    ends = rows.agg(F.min(micros).alias("_lo"), F.max(micros).alias("_hi"))
+    place = F.floor((micros - F.col("_lo")) * n / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1)))
+    return rows.crossJoin(F.broadcast(ends)).withColumn("slice", F.least(place, F.lit(n - 1))).drop("_lo", "_hi")
+
+
+def replayed(rows: DataFrame, n: int, query, mode: str) -> DataFrame:
+    """A stream over rows that come slice by slice: each slice's files are added to a folder and the query, with its
+    checkpoint, takes up what is new. The result of every batch, with its number."""
+    spark = rows.sparkSession
+    source, base = scratch(spark, "source"), scratch(spark, "stream")
+    kept = rows.drop("slice")
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("batch", F.lit(epoch)).write.mode("overwrite").parquet(f"{base}/out/batch_{epoch}")
+
+    for k in range(n):
+        rows.where(F.col("slice") == k).drop("slice").write.mode("append").parquet(source)
+        stream = query(spark.readStream.schema(kept.schema).parquet(source))
+        schema = stream.schema
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return spark.read.schema(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", batch int").parquet(f"{base}/out/*")
+
+
+def replayed_tumbling(events: DataFrame, at: str, key: str, arrived: str, n: int, size: str, late: str) -> DataFrame:
+    """(window_start, key, n) of events that come in n slices by their arrival. An event is dropped if its window had
+    ended, by more than `late` before the latest event of earlier slices, when it came; its window's state is gone then."""
+    counted = lambda s: s.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), key, "n")
+    rows = slices(events.withColumn("ts", F.col(at).cast("timestamp")), arrived, n).select("ts", key, "slice")
+    updates = replayed(rows, n, counted, "update")
+    return updates.groupBy(F.col("window_start").cast("timestamp_ntz").alias("window_start"), key).agg(F.max("n").alias("n"))

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from bunko import plans
 from bunko.functions import text as fn
 from bunko.operators import inventory as inv
-from bunko.operators import documents, runs, search
+from bunko.operators import answers, documents, ordered, runs, search
+from bunko.operators.inventory import excluded_reason
+from bunko.sources import files, records
 
 DATA = "/root/testdata/sf0.001"
 
@@ -183,3 +185,72 @@ def test_page_ranges_and_json(spark):
     got = lambda r: [x.no for x in no.where(documents.in_ranges(F.col("no"), r)).orderBy("no").collect()]
     assert got("1-2, 4,11-") == [1, 2, 4, 11, 12] and got("-3") == [1, 2, 3] and got(None) == got("x") == list(range(1, 13))
     assert documents.first_json('a } {"x": "}{", "y": {"z": 1}} {') == '{"x": "}{", "y": {"z": 1}}' and documents.first_json("{ {") is None
+
+
+def test_every_exclusion(spark, tmp_path):
+    kept = ["a/x.txt", "a/venvx.md", "a/b.py"]
+    left = {"a/~$x.docx": "office lock file", "a/.~lock.x#": "lock file", "a/x.pyc": "compiled file", "Thumbs.db": "system file", "a/node_modules/x.js": "pruned folder", ".git/x": "pruned folder"}
+    for name in [*kept, *left]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" if name == "a/b.py" else b"x")
+    got = {r.path.split(str(tmp_path) + "/")[1]: r.reason for r in files.listed(spark, str(tmp_path)).collect()}
+    assert got == dict.fromkeys(kept) | {k: v for k, v in left.items() if "/." not in f"/{k}"}
+    reasons = {n: one(spark, n, excluded_reason) for n in left}
+    assert reasons == left
+    rows = {r.path.split(str(tmp_path) + "/")[1]: r for r in files.contents(spark, str(tmp_path)).collect()}
+    assert sorted(rows) == sorted(kept) and rows["a/b.py"].encrypted and not rows["a/x.txt"].encrypted
+
+
+def test_encodings(spark):
+    raw = [("日本語".encode("cp932"), "cp932"), ("日本語".encode("utf-8-sig"), "utf-8-sig"), ("plain".encode(), "utf-8-sig"), (b"\x81", "latin-1"), (None, None), (b"", "utf-8-sig")]
+    got = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(raw)], "i int, c binary").select("i", files.decoded("c").alias("d")).orderBy("i").collect()
+    assert [r.d.encoding for r in got] == [e for _, e in raw] and got[0].d.text == got[1].d.text == "日本語"
+
+
+def test_previews(spark):
+    text = "a,b\n" + "\n".join(f"{i},\"x,{i}\"" for i in range(300)) + "\n,\n"
+    got = spark.createDataFrame([(text,), (None,), ("a,b\n1,2",)], "t string").select(files.tabular_preview(",")("t").alias("p")).collect()
+    assert [(r.p.n_rows, len(r.p.rows), r.p.truncated) for r in got] == [(300, 26, True), (0, 0, False), (1, 2, False)] and got[0].p.rows[1] == ["0", "x,0"]
+
+
+def test_lines_still_being_written(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"a": 1, "b": "x"}\n\n{"a": 2, "b": null}\n{"a": 3, "b"')
+    got = records.read_json_lines(spark, str(tmp_path), spark.createDataFrame([], "a int, b string").schema)
+    assert sorted((r.a, r.b) for r in got.collect()) == [(1, "x"), (2, None)]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "1.json").write_text('{"a": 1,\n "b": "x"}')
+    (tmp_path / "d" / "2.json").write_text('{"a": 1,')
+    assert [(r.a, r.b) for r in records.read_documents(spark, str(tmp_path / "d"), got.schema).collect()] == [(1, "x")]
+
+
+def test_questions(spark):
+    rows = spark.createDataFrame([("2", "b?"), ("1", "a?")], "Problem string, Index string").select(F.col("Index").alias("Problem"), F.col("Problem").alias("Index"))
+    assert sorted((r["index"], r.question) for r in records.questions(rows).collect()) == [(1, "a?"), (2, "b?")]
+    for bad in ([("x", "b?")], [("1", "a"), ("1", "b")], [("1", " ")]):
+        with pytest.raises(Exception, match="index|question"):
+            records.questions(spark.createDataFrame(bad, "no string, text string")).collect()
+
+
+def test_store_keeps_the_latest(spark, tmp_path):
+    store = records.LatestStore(str(tmp_path / "s"), ["k"], ["at"])
+    for rows in ([("a", 1, "x"), ("b", 5, "y")], [("a", 2, None)]):
+        store.put(spark.createDataFrame(rows, "k string, at int, v string"))
+    assert sorted((r.k, r.at, r.v) for r in store.get(spark).collect()) == [("a", 2, None), ("b", 5, "y")]
+    assert [r.k for r in store.missing(spark.createDataFrame([("a",), ("c",)], "k string")).collect()] == ["c"]
+
+
+def test_as_of_and_within(spark):
+    left = spark.createDataFrame([("k", 5, "p"), ("k", 1, "q"), ("k", 3, "r"), (None, 3, "s")], "k string, at int, id string")
+    right = spark.createDataFrame([("k", 3, 7), ("k", 3, 9), ("k", 4, None), ("z", 1, 1)], "k string, at int, v int")
+    assert {r.id: r.v for r in ordered.as_of(left, right, "k", "at", ["v"]).collect()} == {"p": None, "q": None, "r": 9, "s": None}
+    spans = spark.createDataFrame([("k", 0, 3, 2), ("k", 3, 9, 1), ("k", 9, 3, 0)], "k string, lo int, hi int, ord int")
+    met = ordered.within(left, spans, "k", "at", "lo", "hi", 2.0)
+    assert sorted((r.id, r.ord) for r in met.collect()) == [("p", 1), ("q", 2), ("r", 1), ("r", 2)]
+    assert {r.id: r.ord for r in ordered.within(left, spans, "k", "at", "lo", "hi", 2.0, ["ord"]).collect()} == {"p": 1, "q": 2, "r": 1}
+
+
+def test_violations(spark):
+    rows = spark.createDataFrame([("1", "ok"), ("1", "ok"), ("x", "a"), ("3", " "), ("4", "a\nb\tc" + "z" * 50), (None, "a")], "key string, answer string")
+    expected = spark.createDataFrame([(1,), (2,), (3,)], "key int")
+    got = {(r.rule, r.key) for r in answers.violations(rows, expected, "key", 20).collect()}
+    assert got == {("repeated", "1"), ("key is no integer", "x"), ("key is no integer", None), ("blank", "3"), ("line break", "4"), ("tab", "4"), ("too long", "4"), ("missing", "2"), ("extra", "4")}
