@@ -26,15 +26,29 @@ from pyspark.sql import types as T
 
 from bunko.session import materialize, table
 
-# Letters of other scripts and the Latin letters of the same shape.
+# Letters of other scripts and the Latin letters of the same shape, by script.
 SAME_SHAPE = {
-    "а": "a", "с": "c", "е": "e", "о": "o", "р": "p", "х": "x", "у": "y", "і": "i", "ј": "j", "ѕ": "s",
-    "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ո": "n", "օ": "o", "ս": "u",
+    # Cyrillic
+    "а": "a", "с": "c", "е": "e", "о": "o", "р": "p", "х": "x", "у": "y", "і": "i", "ј": "j", "ѕ": "s", "г": "r",
+    "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ү": "y", "ѵ": "v",
     "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O",
-    "Р": "P", "Ѕ": "S", "Т": "T", "Х": "X", "У": "Y", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I",
+    "Р": "P", "Ѕ": "S", "Т": "T", "Х": "X", "У": "Y", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I", "Ѵ": "V",
+    # Armenian
+    "ո": "n", "օ": "o", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "յ": "j", "Օ": "O", "Տ": "S", "Լ": "L",
+    # Greek and Coptic
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O",
-    "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ι": "i", "ϳ": "j", "Ϳ": "J", "ϲ": "c", "Ϲ": "C",
-    "ı": "i", "ɡ": "g", "ɑ": "a",
+    "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ι": "i", "α": "a", "ρ": "p", "σ": "o", "ϳ": "j", "Ϳ": "J", "ϲ": "c", "Ϲ": "C",
+    "Ⲁ": "A", "Ⲃ": "B", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮪ": "S", "Ꮩ": "V", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    # Latin
+    "ı": "i", "ɡ": "g", "ɑ": "a", "µ": "μ",
+    # kana of the shape of ideographs, and katakana of the shape of hiragana
+    "ロ": "口", "ニ": "二", "カ": "力", "エ": "工", "ハ": "八", "タ": "夕", "ト": "卜", "ノ": "丿", "ヘ": "へ",
+    # signs
+    "∶": ":", "⁄": "/", "∕": "/", "∼": "~", "〜": "~", "‧": "·", "∙": "·", "⋅": "·", "ꞏ": "·", "∗": "*", "∣": "|", "ǀ": "|", "․": ".",
 }
 # Hyphens.
 HYPHENS = "\u2010\u2011\u2012\u2043\u2212\ufe63\uff0d"
@@ -44,6 +58,8 @@ LINE_BREAKS = "\r\u0085\u2028\u2029"
 _JOINER = "\u200d"
 # Tags and selectors beyond the basic plane; a class of their own, as one class with both planes is matched far slower.
 _TAGS = re.compile("[\U000e0000-\U000e01ef]+")
+# Letters and digits in the styles of mathematics, whose compatibility form is the plain letter.
+_LETTERS = re.compile("[\U0001d400-\U0001d7ff]+")
 
 
 @lru_cache(maxsize=1)
@@ -63,7 +79,8 @@ def _prototypes() -> tuple[dict[str, str], re.Pattern]:
             how = unicodedata.decomposition(ch)
             radical = 0x2E80 <= o <= 0x2FDF and how.startswith("<compat>")
             numeral = 0x2160 <= o <= 0x217F and how.startswith("<compat>")
-            if how.startswith(("<wide>", "<narrow>")) or radical or numeral:
+            ligature = 0xFB00 <= o <= 0xFB06 and how.startswith("<compat>")
+            if how.startswith(("<wide>", "<narrow>", "<font>")) or radical or numeral or ligature:
                 to[ch] = unicodedata.normalize("NFKD", ch)
     for o in (*range(0x20), 0x7F):
         if chr(o) not in "\t\n\v\f":
@@ -85,7 +102,7 @@ def skeleton(value: str | None) -> str | None:
         return value
     to, replaced = _prototypes()
     text = unicodedata.normalize("NFD", value.replace("\r\n", "\n"))
-    text = _TAGS.sub("", text)
+    text = _LETTERS.sub(lambda m: unicodedata.normalize("NFKD", m.group()), _TAGS.sub("", text))
 
     def swap(m: re.Match) -> str:
         run = m.group()
@@ -158,10 +175,25 @@ def same_look_pairs(keys: DataFrame) -> DataFrame:
     return a.join(b, ["field", "look"]).where("id_a < id_b AND exact_a <> exact_b").select("field", "id_a", "id_b")
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def look_classes(keys: DataFrame) -> DataFrame:
+    """(field, id, class, n_values): every row with the least id of the rows that look the same and the number of differing
+    values among these; as many rows as there are, however many copies a value has."""
+    values = keys.groupBy("field", "look", "exact").agg(F.min("id").alias("id"))
+    classes = values.groupBy("field", "look").agg(F.min("id").alias("class"), F.count("*").alias("n_values"))
+    return keys.join(classes, ["field", "look"]).select("field", "id", "class", "n_values")
+
+
+def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = look_keys(table(spark, sf_dir, "corpus_files"), "relpath", "file_id", "relpath")
-    pages = look_keys(table(spark, sf_dir, "extracted_pages"), "text", "page_id", "text")
-    return same_look_pairs(materialize(files.unionByName(pages)))
+    return files.unionByName(look_keys(table(spark, sf_dir, "extracted_pages"), "text", "page_id", "text"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_look_pairs(materialize(_keys(spark, sf_dir)))
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return look_classes(materialize(_keys(spark, sf_dir)))
 
 
 def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,5 +208,5 @@ def p4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "extracted_pages").select("page_id", "doc_id", "no", consistent_form_udf("text").alias("text"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_forms": p4_forms, "p4_texts": p4_texts}
+QUERIES = {"p4_found": p4_found, "p4_classes": p4_classes, "p4_forms": p4_forms, "p4_texts": p4_texts}
 ORACLES: dict[str, str] = {}

@@ -141,6 +141,7 @@ def test_defects_of_an_empty_table(spark):
 def test_forms():
     same = [("ガギ", "ｶﾞｷﾞ"), ("a　b", "a b"), ("é", "é"), ("сору", "copy"), ("⽇⽉", "日月"), ("a‐b", "a-b"), ("a​b", "ab"), ("Ａ（", "A("), ("a\r\nb", "a\nb")]
     differ = [("x²", "x2"), ("①", "1"), ("ハ", "バ"), ("e", "é"), ("a", "A"), ("a  b", "a b"), ("a\nb", "a b"), ("👩‍💻", "👩💻")]
+    same += [("𝐀𝟏", "A1"), ("ℝ", "R"), ("Ꭰꓮ", "DA"), ("1∶2", "1:2"), ("a⁄b", "a/b"), ("µ", "μ"), ("αρ", "ap"), ("ロ", "口"), ("ベ", "べ"), ("〜", "～"), ("ﬁ", "fi"), ("Ⲣ", "P")]
     assert all(lookalike.skeleton(a) == lookalike.skeleton(b) for a, b in same)
     assert all(lookalike.skeleton(a) != lookalike.skeleton(b) for a, b in differ)
     assert lookalike.skeleton(None) is None
@@ -154,6 +155,13 @@ def test_same_look_pairs_against_brute_force(spark):
     assert got == {(i, j) for i, v in full for j, w in full if i < j and v != w and lookalike.skeleton(v) == lookalike.skeleton(w)}
 
 
+def test_classes_of_looks(spark):
+    values = ["a b", "a　b", "a b", "ab", None, "", "a\u00a0b"]
+    df = spark.createDataFrame(list(enumerate(values)), "page_id bigint, text string")
+    got = {r.id: (r["class"], r.n_values) for r in lookalike.look_classes(lookalike.look_keys(df, "text", "page_id", "text")).collect()}
+    assert got == {0: (0, 3), 1: (0, 3), 2: (0, 3), 3: (3, 1), 6: (0, 3)}
+
+
 # Problem 5
 
 
