@@ -45,8 +45,8 @@ SAME_SHAPE = {
     "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
     # Latin
     "ı": "i", "ɡ": "g", "ɑ": "a", "µ": "μ",
-    # kana of the shape of ideographs, and katakana of the shape of hiragana
-    "ロ": "口", "ニ": "二", "カ": "力", "エ": "工", "ハ": "八", "タ": "夕", "ト": "卜", "ノ": "丿", "ヘ": "へ",
+    # ideographs and hiragana of the shape of katakana, which are the ones that take voicing marks
+    "口": "ロ", "二": "ニ", "力": "カ", "工": "エ", "八": "ハ", "夕": "タ", "卜": "ト", "丿": "ノ", "へ": "ヘ",
     # signs
     "∶": ":", "⁄": "/", "∕": "/", "∼": "~", "〜": "~", "‧": "·", "∙": "·", "⋅": "·", "ꞏ": "·", "∗": "*", "∣": "|", "ǀ": "|", "․": ".",
 }

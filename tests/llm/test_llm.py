@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,12 +125,29 @@ def test_clear_defects(spark):
     rows = [(1, q, "The settings of Grazu are stored in a_b.md.", None), (2, q, "​ ", "N/A"), (3, q, "I'm sorry, but I can't answer this.", "Step 2 names a_b.md."), (4, q, f"**{q}**", ""),
             (5, q, "グラズの設定はa_b.mdに保存されています。", None), (6, q, "The settings of Grazu are stored in the folder that", None), (7, q, f"{q} The settings of Grazu are stored in a_b.md.", None),
             (8, q, "a_b.md", None), (9, None, None, None), (10, q, 'The summary records that the vendor said "we can\'t answer questions" in the call.', None)]
-    base = table(spark, DATA, "ask_cache").select((F.col("ask_id") + 1000).alias("ask_id"), "question", "answer", "evidence")
+    base = table(spark, DATA.replace("0.001", "0.01"), "ask_cache").select((F.col("ask_id") + 1000).alias("ask_id"), "question", "answer", "evidence")
     asks = spark.createDataFrame(rows, "ask_id bigint, question string, answer string, evidence string").unionByName(base)
     got = {(r.ask_id, r.field): r.defect for r in ad.defects(asks).where("ask_id <= 10").collect()}
     assert got == {(2, "answer"): "empty", (3, "answer"): "refusal", (4, "answer"): "copy", (5, "answer"): "other_language", (6, "answer"): "truncated", (9, "answer"): "empty"}
 
 
+def test_the_field_on_held_out_rows():
+    rows = pq.read_table(DATA.replace("0.001", "0.01") + "/ask_cache.parquet", columns=["question", "answer", "evidence"]).to_pylist()
+    pairs = [(lookalike.consistent_form(r["question"]), form) for r in rows for x in ("answer", "evidence") if r["question"] and r[x] and not ad.is_empty(form := lookalike.consistent_form(r[x]))]
+    features, field = ad.train(pairs[::2])
+    wanted = {ad.REFUSAL: "refusal", ad.ECHO: "copy", ad.FOREIGN: "other_language", ad.UNFINISHED: "truncated"}
+    seen, hit = Counter(), Counter()
+    for parts, q, tags in ad.variants(pairs[1::2], 3):
+        kinds = set(tags)
+        if kinds <= {ad.ANSWER} or len(kinds - {ad.ANSWER}) > 1 or kinds == {ad.ANSWER, ad.ECHO}:
+            continue
+        want = wanted[(kinds - {ad.ANSWER}).pop()]
+        got = ad.verdict(field.marginals(*features([parts], [q])), parts)
+        seen[want] += 1
+        hit[want] += got == want
+    assert all(hit[k] >= 0.85 * seen[k] and seen[k] > 50 for k in wanted.values()), (seen, hit)
+
+
 def test_defects_of_an_empty_table(spark):
     asks = spark.createDataFrame([], "ask_id bigint, question string, answer string, evidence string, field string, defect string")
     assert ad.defects(asks).count() == 0
