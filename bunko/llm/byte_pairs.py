@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bunko.session import table
+from bunko.session import spread, table
 
 TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the pattern that splits text into words before any merge.
@@ -210,7 +210,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     path = path or vocabulary()
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: encoded(it, path, 1), "doc_id bigint, ids array<int>")
+    return spread(rows).mapInArrow(lambda it: encoded(it, path, 1), "doc_id bigint, ids array<int>")
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

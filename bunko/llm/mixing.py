@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bunko.llm.byte_pairs import counted, vocabulary
-from bunko.session import materialize, table
+from bunko.session import materialize, spread, table
 
 SEED = 20_250
 
@@ -28,7 +28,7 @@ def sizes(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, source, n_tokens)."""
     path = path or vocabulary()
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: counted(it, path, 2), "doc_id bigint, source string, n_tokens bigint")
+    return spread(rows).mapInArrow(lambda it: counted(it, path, 2), "doc_id bigint, source string, n_tokens bigint")
 
 
 def rates(sized: DataFrame, targets: DataFrame, total_tokens: float | None = None, reachable: bool = False) -> DataFrame:

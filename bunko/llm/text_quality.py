@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bunko.session import materialize, table
+from bunko.session import materialize, spread, table
 
 STATISTICS = ["log_words", "mean_word_length", "symbol_share", "punctuated_lines", "common_share", "list_share", "table_share", "code_share", "junk_share"]
 KINDS = ["list", "table", "code", "junk"]
@@ -230,7 +230,7 @@ def statistics(docs: DataFrame, common_words: DataFrame) -> DataFrame:
 
     main = F.lower(F.regexp_extract(F.col("lang").cast("string"), r"^\s*([A-Za-z]{2,3})\b", 1))
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), main.alias("lang"))
-    return rows.mapInArrow(run, "doc_id bigint, has_content boolean, language string, n_words bigint, " + ", ".join(f"{c} double" for c, _ in MEASURED[2:]))
+    return spread(rows).mapInArrow(run, "doc_id bigint, has_content boolean, language string, n_words bigint, " + ", ".join(f"{c} double" for c, _ in MEASURED[2:]))
 
 
 def _names(prefix: str) -> list[str]:

@@ -234,13 +234,15 @@ def test_marks_packed_and_back():
     marks = np.array([0, 3, 3, 250, 255, 0, 1, 7, 255, 0], dtype=np.uint8)
     assert near_duplicates._unpack_marks(near_duplicates._pack_marks(marks)).tolist() == marks.tolist()
     assert near_duplicates._unpack_marks(near_duplicates._pack_marks(marks[:0])).tolist() == []
+    for keys in (np.array([], dtype=np.uint64), np.array([1 << 19], dtype=np.uint64), np.array([3, (1 << 20) - 1, 7], dtype=np.uint64)):
+        assert near_duplicates._unpack_keys(near_duplicates._pack_keys(keys), len(keys)).tolist() == keys.tolist()
 
 
 def test_least_sum_loses_no_agreeing_posting():
     rng = np.random.default_rng(1)
     a, b, limit = rng.integers(60, 4000, 20000), rng.integers(60, 4000, 20000), rng.integers(1, 2000, 20000)
-    mark = rng.integers(0, 256, 20000).astype(np.uint8)
-    agree = mark.astype(np.int64) * limit <= 255 * (near_duplicates.differences(a, b, 0.7) + 4)
+    mark = rng.integers(0, near_duplicates.STEPS + 1, 20000).astype(np.uint8)
+    agree = mark.astype(np.int64) * limit <= near_duplicates.STEPS * (near_duplicates.differences(a, b, 0.7) + 4)
     need = near_duplicates.least_sum(mark, limit, 0.7, 4)
     assert (need[agree] <= (a + b)[agree]).all()
 
