@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bunko.functions.text import tokens
-from bunko.session import materialize
+from bunko.session import materialize, spread
 
 K1, B, EPSILON, POOL, RRF = 1.5, 0.75, 0.25, 200, 60
 # Queries and vectors that meet in a task, and vectors worked on at once.
@@ -57,7 +57,7 @@ def term_statistics(posted: DataFrame, totals: DataFrame) -> DataFrame:
 
 def build(docs: DataFrame, id_col: str, text_col: str) -> Index:
     """The index of all documents, its tables written to the shared folder; n counts documents without terms too."""
-    posted = materialize(postings(docs, id_col, text_col))
+    posted = materialize(postings(spread(docs.select(id_col, text_col)), id_col, text_col))
     totals = materialize(posted.where("term IS NULL").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
     return Index(posted, materialize(term_statistics(posted, totals)), totals)
 
