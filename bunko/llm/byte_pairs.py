@@ -1,11 +1,15 @@
-"""Problems 2, 6 and 7 share this: byte-pair encoding by an automaton built from the merge list, without a tokenizer.
+"""Problems 2, 6 and 7 share this: byte-pair encoding by an automaton compiled from the merge list, without a tokenizer.
 
-The automaton reads tokens. It starts with one state and an arc for each byte; the gadget of each merge (u, v) -> w, in
-the order of the merges, adds the arc w beside the path u v and takes the arc v away behind u. What is left after all
-gadgets is, for any bytes, exactly one path: their encoding. A state is known by the last token read, and an arc's fate
-depends only on the merges that the two tokens' edges take part in, so that arcs are worked out when they are first
-asked for and kept in the transition table. Encoding follows the table, trying the longest arc first and giving up a
-position that leads nowhere; the labels of the arcs are the ids.
+The automaton reads tokens; its state is the last token read. It starts with one state and an arc for each byte. The
+gadget of each merge (u, v) -> w, in the order of the merges, adds a state w that is entered wherever u was and left
+wherever v is, and takes the arc v away behind u and behind all later tokens that end in this u. What is left after all
+gadgets is, for any bytes, exactly one path: their encoding. The labels of its arcs are the ids, and `decode` emits them.
+
+Number the states so that a token's right half comes before it and all tokens grown from that half follow, the youngest
+first, and the arcs likewise by their left halves. Then a gadget takes away the arcs of one run of numbers behind the
+states of one run of numbers, and the whole table is a few runs of missing arcs per state. It is compiled once a worker
+and not changed after. A word is read by steps of the table, the longest arc first: every prefix of it has
+one last token, the state behind it, so that each prefix is entered at most once, whatever other arcs lead there.
 
 Words are cut further where no token of the vocabulary holds both neighbours: no merge reaches across such a place.
 """
@@ -13,7 +17,8 @@ Words are cut further where no token of the vocabulary holds both neighbours: no
 from __future__ import annotations
 
 import json
-import sys
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +34,6 @@ TOKENIZERS = "/opt/tokenizers"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Distinct words a worker keeps.
 KEPT_WORDS = 400_000
-_NEVER = sys.maxsize
 
 
 def _byte_letters() -> dict[str, int]:
@@ -61,10 +65,12 @@ class MergeAutomaton(dict):
         for t, i in list(self.label.items()):
             if len(t) > 1 and i not in self.halves:
                 del self.label[t]
+        self.bytes_of = {i: t for t, i in self.label.items()}
+        self.size = {i: len(t) for i, t in self.bytes_of.items()}
         self.reach: dict[bytes, int] = {}
         self.inside: set[tuple[bytes, bytes]] = set()
         for t in self.label:
-            head = t[:2]
+            head = t[:3]
             self.reach[head] = max(self.reach.get(head, 0), len(t))
             for i in range(1, len(t)):
                 if t[i] & 0xC0 != 0x80:
@@ -75,56 +81,98 @@ class MergeAutomaton(dict):
                     while end < len(t) and t[end] & 0xC0 == 0x80:
                         end += 1
                     self.inside.add((t[start:i], t[i:end]))
-        self.table: dict[tuple[int, int], bool] = {}
+        self.compile()
         self.cut: dict[str, bool] = {}
         self.parts: dict[str, bytes] = {}
         self.words = regex.compile(PATTERN).findall
 
-    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
-        """Tokens that stood at this edge (0 left, 1 right) while the token was built, each with the merge that ended it."""
-        out, until = [(token, _NEVER)], _NEVER
-        while token in self.halves:
-            a, b, until = self.halves[token]
-            token = b if side else a
-            out.append((token, until))
-        return out
+    @staticmethod
+    def _numbers(half: dict[int, tuple[int, int]], states: list[int]) -> tuple[dict[int, int], dict[int, tuple[list[int], list[int]]]]:
+        """Numbers of the tokens, each followed by those grown from it (half: token -> its half, rank), youngest first;
+        per token the ranks (falling, so negated) of those grown from it and where each one's run ends."""
+        grown: dict[int, list[int]] = {}
+        for token in sorted(half, key=lambda t: -half[t][1]):
+            grown.setdefault(half[token][0], []).append(token)
+        at: dict[int, int] = {}
+        end: dict[int, int] = {}
+        stack = [(t, False) for t in reversed(states) if t not in half]
+        while stack:
+            token, left = stack.pop()
+            if left:
+                end[token] = len(at)
+                continue
+            at[token] = len(at)
+            stack.append((token, True))
+            stack += [(c, False) for c in reversed(grown.get(token, []))]
+        return at, {t: ([-half[c][1] for c in of], [end[c] for c in of]) for t, of in grown.items()}
+
+    def compile(self) -> None:
+        """Apply the gadgets: `starts` and `stops` are the runs of missing arcs, the arc's number plus the state's times a row's width."""
+        states = sorted(self.label.values())
+        state, behind = self._numbers({t: (b, k) for t, (_, b, k) in self.halves.items()}, states)
+        self.arcs, ahead = self._numbers({t: (a, k) for t, (a, _, k) in self.halves.items()}, states)
+        width = len(states) + 1
+        self.row = {t: n * width for t, n in state.items()}
+        none: tuple[list[int], list[int]] = ([], [])
+        rows, first, last = [], [], []
+        for (u, v), k in self.rank.items():
+            ranks, ends = behind.get(u, none)
+            n = bisect_left(ranks, -k)
+            top, below = state[u], ends[n - 1] if n else state[u] + 1
+            ranks, ends = ahead.get(v, none)
+            n = bisect_right(ranks, -k)
+            rows.append((top, below))
+            first.append(self.arcs[v])
+            last.append(ends[n - 1] if n else self.arcs[v] + 1)
+        top, below = np.array(rows, dtype=np.int64).reshape(-1, 2).T
+        n = below - top
+        row = np.repeat(top - np.cumsum(n) + n, n) + np.arange(n.sum())
+        start, stop = row * width + np.repeat(first, n), row * width + np.repeat(last, n)
+        order = np.argsort(start, kind="stable")
+        start, stop = start[order], np.maximum.accumulate(stop[order])
+        new = np.concatenate([[True], start[1:] > stop[:-1]])[: len(start)]
+        # keys of runs that touch are one run
+        self.starts = array("q", start[new].tobytes())
+        self.stops = array("q", stop[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(stop) - 1]])].tobytes() if len(stop) else b"")
 
     def arc(self, last: int, token: int) -> bool:
-        """Is there still an arc `token` behind `last`? A gadget took it away if both edges stood when its merge came; of
-        equal merges the left one comes first."""
-        found = self.table.get((last, token))
-        if found is None:
-            found = True
-            for b, until_b in self._edge(token, 0):
-                for a, until_a in self._edge(last, 1):
-                    k = self.rank.get((a, b))
-                    if k is not None and k < until_a and k <= until_b:
-                        found = False
-            self.table[last, token] = found
-        return found
+        """Is there an arc `token` behind `last`?"""
+        key = self.row[last] + self.arcs[token]
+        i = bisect_right(self.starts, key) - 1
+        return i < 0 or key >= self.stops[i]
 
     def path(self, word: bytes) -> list[int]:
-        if word in self.label:
-            return [self.label[word]]
-        ids: list[int] = []
-        ends = [0]
-        dead: set[tuple[int, int]] = set()
-        longest = None
-        while ends[-1] < len(word):
-            at = ends[-1]
-            if longest is None:
-                longest = min(self.reach.get(word[at : at + 2], 1), len(word) - at)
-            for size in range(longest, 0, -1):
-                token = self.label.get(word[at : at + size])
-                if token is not None and (at + size, token) not in dead and (not ids or self.arc(ids[-1], token)):
-                    ids.append(token)
-                    ends.append(at + size)
-                    longest = None
-                    break
+        """Steps of the table, from the state reached last, by the longest arc that fits; a prefix has one last token, so that
+        one that was reached is not entered again."""
+        label, reach, starts, stops, arcs, row = self.label, self.reach, self.starts, self.stops, self.arcs, self.row
+        if word in label:
+            return [label[word]]
+        n = len(word)
+        last = [-1] * (n + 1)
+        left: list[tuple[int, int]] = []
+        at, keys, end = 0, 0, min(reach.get(word[:3], 2), n)
+        while at < n:
+            while end > at:
+                if last[end] < 0:
+                    token = label.get(word[at:end])
+                    if token is not None:
+                        i = bisect_right(starts, keys + arcs[token]) if at else 0
+                        if i == 0 or keys + arcs[token] >= stops[i - 1]:
+                            last[end] = token
+                            left.append((at, end - 1))
+                            break
+                end -= 1
             else:
-                end = ends.pop()
-                dead.add((end, ids.pop()))
-                longest = None
+                at, end = left.pop()
+                keys = row[last[at]] if at else 0
+                continue
+            at, keys = end, row[token]
+            end = min(at + reach.get(word[at : at + 3], 2), n)
+        ids, at = [], n
+        while at:
+            ids.append(last[at])
+            at -= self.size[last[at]]
+        ids.reverse()
         return ids
 
     def _apart(self, a: str, b: str) -> bool:
@@ -158,7 +206,7 @@ class MergeAutomaton(dict):
 
     def trim(self) -> None:
         """Keep memory bounded: between blocks of texts, drop what was kept if it has grown too large."""
-        for kept in (self, self.parts, self.table, self.cut):
+        for kept in (self, self.parts, self.cut):
             if len(kept) > KEPT_WORDS:
                 kept.clear()
 
@@ -167,9 +215,7 @@ class MergeAutomaton(dict):
         return b"".join(map(self.__getitem__, self.words(text))) if text else b""
 
     def decode(self, ids: list[int]) -> bytes:
-        if not hasattr(self, "bytes_of"):
-            self.bytes_of = {i: t for t, i in self.label.items()}
-        return b"".join(self.bytes_of[i] for i in ids)
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
@@ -217,5 +263,22 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p6_ids": p6_ids}
-ORACLES: dict[str, str] = {}
+def decode_documents(encoded_docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, text): the text of the ids, the arcs' labels one after the other; null and empty lists give the empty text. Bytes that are no text come out as U+FFFD."""
+    path = path or vocabulary()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = automaton(path)
+        for batch in batches:
+            texts = [a.decode([i for i in ids or () if i is not None]).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return encoded_docs.select(F.col("doc_id").cast("bigint"), F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id bigint, text string")
+
+
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode_documents(p6_ids(spark, sf_dir))
+
+
+QUERIES = {"p6_ids": p6_ids, "p6_decoded": p6_decoded}
+ORACLES = {"p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}

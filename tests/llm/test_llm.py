@@ -73,6 +73,38 @@ def test_encoding_of_odd_texts(spark):
     got = byte_pairs.encode_documents(docs).collect()
     assert len(got) == len(ODD) + 1 and all(r.ids == [] for r in got if r.doc_id in (0, 1)) and all(len(r.ids) for r in got if r.doc_id > 1)
     assert byte_pairs.encode_documents(docs.limit(0)).count() == 0
+    back = byte_pairs.decode_documents(byte_pairs.encode_documents(docs)).collect()
+    assert sorted((r.doc_id, r.text) for r in back) == sorted((r.doc_id, r.text or "") for r in docs.collect())
+    odd = spark.createDataFrame([(1, None, "x"), (2, [None], "x"), (3, [], None)], "doc_id bigint, ids array<int>, text string")
+    assert {(r.doc_id, r.text) for r in byte_pairs.decode_documents(odd).collect()} == {(1, ""), (2, ""), (3, "")}
+
+
+def test_arcs_are_what_the_gadgets_leave():
+    """Gadget by gadget on sets of arcs, with merges that overlap, repeat a half and meet themselves."""
+    rnd = random.Random(5)
+    for turn in range(30):
+        tokens = ["a", "b", "c"]
+        merges: list[tuple[str, str]] = []
+        while len(merges) < 14:
+            u, v = rnd.choice(tokens), rnd.choice(tokens)
+            if u + v not in tokens and len(u + v) < 9:
+                merges.append((u, v))
+                tokens.append(u + v)
+        arcs = {(p, t) for p in "abc" for t in "abc"}
+        for u, v in merges:
+            behind = {t for p, t in arcs if p == v}
+            arcs.discard((u, v))
+            before = {p for p, t in arcs if t == u}
+            arcs |= {(u + v, t) for t in behind} | {(p, u + v) for p in before}
+            if u in behind:
+                arcs.add((u + v, u + v))
+        a = byte_pairs.MergeAutomaton.__new__(byte_pairs.MergeAutomaton)
+        number = {t: i for i, t in enumerate(tokens)}
+        a.label = {t.encode(): i for t, i in number.items()}
+        a.rank = {(number[u], number[v]): k for k, (u, v) in enumerate(merges)}
+        a.halves = {number[u + v]: (number[u], number[v], k) for k, (u, v) in enumerate(merges)}
+        a.compile()
+        assert {(p, t) for p in tokens for t in tokens if a.arc(number[p], number[t])} == arcs, turn
 
 
 def test_token_counts_equal_encoding(spark):
