@@ -107,6 +107,28 @@ def strip_markup(text: Column) -> Column:
     return out
 
 
+def styled(text: Column, strike: Column, underline: Column, italic: Column, bold: Column, highlight: Column, colour: Column) -> Column:
+    """A run of text in the marks of its style, from the innermost: strike, underline, italic, bold, the name of a
+    highlight, a colour RRGGBB. White space at the ends stays outside; a blank text has no marks. Null style is none."""
+    blank = r"[\s\u3000\u00a0]"
+    part = lambda i: F.regexp_extract(text, f"(?s)^({blank}*)(.*?)({blank}*)$", i)
+    named = lambda c: F.coalesce(c, F.lit("")) != ""
+    marked = lambda on, mark: lambda t: F.when(on, mark(t)).otherwise(t)
+    marks = [
+        (strike, lambda t: F.concat(F.lit("~~"), t, F.lit("~~"))),
+        (underline, lambda t: F.concat(F.lit("<u>"), t, F.lit("</u>"))),
+        (italic, lambda t: F.concat(F.lit("*"), t, F.lit("*"))),
+        (bold, lambda t: F.concat(F.lit("**"), t, F.lit("**"))),
+        (named(highlight), lambda t: F.concat(F.lit("=="), t, F.lit("=={"), highlight, F.lit("}"))),
+        (named(colour), lambda t: F.concat(F.lit("[c:"), colour, F.lit("]"), t, F.lit("[/c]"))),
+    ]
+    # each mark is a step over a value of its own, so that expressions stay small
+    core = F.array(part(2))
+    for on, mark in marks:
+        core = F.transform(core, marked(on, mark))
+    return F.when(part(2) == "", text).otherwise(F.concat(part(1), F.get(core, F.lit(0)), part(3)))
+
+
 def clip(text: Column, n: int) -> Column:
     """White space squeezed; longer texts are cut to n characters that end in an ellipsis."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -147,20 +148,32 @@ def buckets(rows: DataFrame, flags: str, patterns: list[tuple[str, str]]) -> Dat
     return held.select(F.explode(F.array(*(F.struct(F.lit(name).alias("bucket"), F.col(f"`{name}`").alias("n")) for name, _ in patterns))).alias("x")).select("x.*")
 
 
+_JSON_SIGN = re.compile(r'\\.|["{}]', re.S)
+
+
+def _is_json(text: str) -> bool:
+    try:
+        json.loads(text)
+    except (ValueError, RecursionError):
+        return False
+    return True
+
+
 def first_json(text: str) -> str | None:
-    """The first balanced JSON object in a text, braces in strings aside."""
+    """The first balanced JSON object in a text, braces in strings aside; what is balanced but no JSON is passed over."""
     start = text.find("{")
     while start >= 0:
-        depth, quoted, at = 0, False, start
-        for m in re.finditer(r'\\.|["{}]', text[start:], re.S):
+        depth, quoted = 0, False
+        for m in _JSON_SIGN.finditer(text, start):
             c = m.group()
             if c == '"':
                 quoted = not quoted
             elif not quoted and c in "{}":
                 depth += 1 if c == "{" else -1
                 if depth == 0:
-                    at = start + m.end()
-                    return text[start:at]
+                    if _is_json(found := text[start : m.end()]):
+                        return found
+                    break
         start = text.find("{", start + 1)
     return None
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +82,30 @@ def breaker(rows: DataFrame, key: str, at: str, order: list[str], failed: Column
     return marked.withColumn("broken", F.coalesce(F.col(at) - opened < seconds, F.lit(False))).drop("_f", "_i")
 
 
+def within_budget(rows: DataFrame, keys: list[str], order: str, size: str, budget: int, most: int) -> DataFrame:
+    """(keys, order, size, accepted): rows are accepted in their order while they fit the key's budget; one that is larger
+    than `most` or than what is left is skipped, and smaller ones after it may still fit. A null size never fits. What
+    can't fit at all isn't sorted; the rest passes the fold batch by batch, with one number kept for each key."""
+    rows = rows.select(*keys, order, F.col(size).cast("bigint").alias(size))
+    small = F.coalesce(F.col(size).between(0, min(budget, most)), F.lit(False))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, used = None, 0
+        for batch in batches:
+            taken = []
+            for *at, n in zip(*(batch[k] for k in keys), batch[size]):
+                at = [None if pd.isna(k) else k for k in at]
+                if at != key:
+                    key, used = at, 0
+                taken.append(used + n <= budget)
+                used += n if taken[-1] else 0
+            yield batch.assign(accepted=taken)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", accepted boolean"
+    placed = rows.where(small).repartition(*keys).sortWithinPartitions(*keys, order)
+    return placed.mapInPandas(fold, schema).unionByName(rows.where(~small).withColumn("accepted", F.lit(False)))
+
+
 def pruned_history(rows: DataFrame, keys: list[str], order: str, size: str, budget: int, head: int, tail: int, shown: int) -> DataFrame:
     """Messages with the part of them that is kept: all of a history within the budget or no longer than head and tail;
     else the first and last ones whole and those between cut."""

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from bunko.operators import inventory as inv
 from bunko.operators import ordered as ops
 from bunko.operators import runs
+from bunko.functions import text as fn
+from bunko.plans import documents
 from bunko.session import table
+from bunko.streaming import windows
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -71,6 +74,25 @@ def pruned_history(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("run_id", "q_index").agg(F.sum("size").alias("tokens"), F.sum("kept").alias("kept"), F.count_if(F.col("kept") < F.col("size")).alias("n_cut"))
 
 
+def breaker_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The breaker's states again, as a stream of four slices of time with the state of each engine."""
+    asks = table(spark, d, "ask_cache").select(F.col("engine").alias("key"), F.col("ask_id").alias("id"), (F.unix_micros(F.col("asked_at").cast("timestamp")) / 1e6).alias("at"), (F.col("error").isNotNull() | F.col("answer").isNull()).alias("failed"))
+    return windows.replayed_breaker(asks, 4, 3, 36_000.0).withColumnRenamed("id", "ask_id")
+
+
+def documents_in_budget(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of each project that fit 6,000 tokens together and 2,000 each, by path; those too large are skipped."""
+    rows = documents.catalogue(spark, d).where("n_chars > 0").select("project", "relpath", F.floor(F.col("n_chars") / 2).alias("n_tokens"))
+    return ops.within_budget(rows, ["project"], "relpath", "n_tokens", 6000, 2000)
+
+
+def styled_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers in the marks of a style that their row gives them."""
+    asks = table(spark, d, "ask_cache").where("answer IS NOT NULL")
+    style = (F.col("error").isNotNull(), F.col("latency_sec") > 30, F.col("evidence").isNull(), F.col("confident"), F.col("engine"), F.upper(F.substring("md5", 1, 6)))
+    return asks.select("ask_id", fn.styled(F.col("answer"), *style).alias("styled"))
+
+
 def unit_status(spark: SparkSession, d: str) -> DataFrame:
     """Files of each project and category with those still to be extracted: a file is done if its path and md5 are those
     of the manifest and its pages are there."""
@@ -102,7 +124,7 @@ def unapplied_answers(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("md5").agg(F.count("*").alias("n_answers"), F.count_if(~F.col("applied")).alias("n_unapplied"))
 
 
-QUERIES = {f.__name__: f for f in (ask_file_as_of, events_within_calls, pages_in_limits, size_clusters, event_runs, page_languages, breaker_states, pruned_history, unit_status, replaced_files, unapplied_answers)}
+QUERIES = {f.__name__: f for f in (ask_file_as_of, events_within_calls, pages_in_limits, size_clusters, event_runs, page_languages, breaker_states, breaker_stream, pruned_history, documents_in_budget, styled_answers, unit_status, replaced_files, unapplied_answers)}
 
 _EVENTS = "(SELECT * FROM chain_events QUALIFY row_number() OVER (PARTITION BY run_id, q_index, seq ORDER BY arrived_at) = 1)"
 _CURRENT = "(SELECT * FROM corpus_files WHERE relpath IS NOT NULL QUALIFY row_number() OVER (PARTITION BY relpath ORDER BY mount NULLS FIRST, scanned_at DESC, file_id DESC) = 1)"
@@ -124,3 +146,15 @@ ORACLES = {
     "replaced_files": "WITH a AS (SELECT string_split(relpath, '/')[-1] AS name, relpath, md5 FROM corpus_files WHERE relpath IS NOT NULL AND md5 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY name ORDER BY relpath DESC, md5 DESC) = 1), b AS (SELECT string_split(relpath, '/')[-1] AS name, relpath, md5 FROM manifest WHERE relpath IS NOT NULL AND md5 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY name ORDER BY relpath DESC, md5 DESC) = 1) SELECT name, a.relpath, b.relpath AS old_path FROM a JOIN b USING (name) WHERE a.md5 <> b.md5",
     "unapplied_answers": "WITH p AS (SELECT DISTINCT md5, doc_id FROM corpus_files WHERE md5 IS NOT NULL), f AS (SELECT a.md5, a.ask_id, coalesce(bool_or(contains(x.text, a.answer)), false) AS applied FROM ask_cache a LEFT JOIN (SELECT md5, text FROM p JOIN extracted_pages USING (doc_id)) x USING (md5) WHERE a.md5 IS NOT NULL AND confident AND answer IS NOT NULL GROUP BY ALL) SELECT md5, count(*) AS n_answers, count(*) FILTER (NOT applied) AS n_unapplied FROM f GROUP BY md5",
 }
+ORACLES["breaker_stream"] = ORACLES["breaker_states"]
+ORACLES["documents_in_budget"] = (
+    f"WITH RECURSIVE c AS ({documents.ORACLES['catalogue']}), o AS (SELECT project, relpath, n_chars // 2 AS n, row_number() OVER (PARTITION BY project ORDER BY relpath) AS i FROM c WHERE n_chars > 0), "
+    "r AS (SELECT *, n <= 2000 AS accepted, CASE WHEN n <= 2000 THEN n ELSE 0 END AS used FROM o WHERE i = 1 UNION ALL SELECT o.*, o.n <= 2000 AND r.used + o.n <= 6000, r.used + CASE WHEN o.n <= 2000 AND r.used + o.n <= 6000 THEN o.n ELSE 0 END FROM r JOIN o ON o.project IS NOT DISTINCT FROM r.project AND o.i = r.i + 1) SELECT project, relpath, n::BIGINT AS n_tokens, accepted FROM r"
+)
+_CORE = r"regexp_extract(answer, '(?s)^[\s\x{3000}\x{a0}]*(.*?)[\s\x{3000}\x{a0}]*$', 1)"
+ORACLES["styled_answers"] = (
+    f"WITH a AS (SELECT *, {_CORE} AS core FROM ask_cache WHERE answer IS NOT NULL), s AS (SELECT *, CASE WHEN error IS NOT NULL THEN '~~' || core || '~~' ELSE core END AS c1 FROM a), u AS (SELECT *, CASE WHEN latency_sec > 30 THEN '<u>' || c1 || '</u>' ELSE c1 END AS c2 FROM s), "
+    "i AS (SELECT *, CASE WHEN evidence IS NULL THEN '*' || c2 || '*' ELSE c2 END AS c3 FROM u), b AS (SELECT *, CASE WHEN confident THEN '**' || c3 || '**' ELSE c3 END AS c4 FROM i), h AS (SELECT *, CASE WHEN engine <> '' THEN '==' || c4 || '=={' || engine || '}' ELSE c4 END AS c5 FROM b), "
+    "c AS (SELECT *, CASE WHEN md5 <> '' THEN '[c:' || upper(substr(md5, 1, 6)) || ']' || c5 || '[/c]' ELSE c5 END AS c6 FROM h) "
+    "SELECT ask_id, CASE WHEN core = '' THEN answer ELSE substr(answer, 1, instr(answer, core) - 1) || c6 || substr(answer, instr(answer, core) + length(core)) END AS styled FROM c"
+)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from bunko.session import scratch, table
 
@@ -89,3 +91,28 @@ def replayed_tumbling(events: DataFrame, at: str, key: str, arrived: str, n: int
     rows = slices(events.withColumn("ts", F.col(at).cast("timestamp")), arrived, n).select("ts", key, "slice")
     updates = replayed(rows, n, counted, "update")
     return updates.groupBy(F.col("window_start").cast("timestamp_ntz").alias("window_start"), key).agg(F.max("n").alias("n"))
+
+
+def replayed_breaker(calls: DataFrame, n: int, limit: int, seconds: float) -> DataFrame:
+    """(id, streak, broken) of calls (key, id, at, failed) that come in n slices of time: `limit` failures in a row open a
+    key's breaker for some seconds, a success sets the count back. The state of a key, kept from batch to batch, is its
+    count and the time when the breaker was opened last; within a batch calls are taken by time and id."""
+
+    def judged(key: tuple, parts, state: GroupState):
+        streak, opened = state.get if state.exists else (0, None)
+        batch = pd.concat(list(parts)).sort_values(["at", "id"], kind="stable")
+        out = []
+        for i, at, failed in zip(batch["id"], batch["at"], batch["failed"]):
+            broken = opened is not None and at - opened < seconds
+            streak = streak + 1 if failed else 0
+            if streak >= limit:
+                opened = float(at)
+            out.append((i, streak, broken))
+        state.update((streak, opened))
+        yield pd.DataFrame(out, columns=["id", "streak", "broken"])
+
+    def query(stream: DataFrame) -> DataFrame:
+        return stream.groupBy("key").applyInPandasWithState(judged, "id bigint, streak bigint, broken boolean", "streak bigint, opened double", "append", GroupStateTimeout.NoTimeout)
+
+    rows = calls.select("key", F.col("id").cast("bigint").alias("id"), F.col("at").cast("double").alias("at"), F.coalesce("failed", F.lit(False)).alias("failed"))
+    return replayed(slices(rows.where("key IS NOT NULL AND id IS NOT NULL AND at IS NOT NULL").withColumn("_at", F.timestamp_seconds("at")), "_at", n).drop("_at"), n, query, "append").drop("batch")

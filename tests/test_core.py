@@ -180,6 +180,25 @@ def test_tables_and_back(spark):
     assert documents.table_rows(pages.limit(0), "page_id", "text").count() == 0
 
 
+def test_styles(spark):
+    on, off, none = F.lit(True), F.lit(False), F.lit(None).cast("string")
+    assert one(spark, " a b\u3000", lambda c: fn.styled(c, on, on, on, on, F.lit("yellow"), F.lit("FF0000"))) == " [c:FF0000]==***<u>~~a b~~</u>***=={yellow}[/c]\u3000"
+    assert one(spark, "a\nb", lambda c: fn.styled(c, off, F.lit(None).cast("boolean"), off, on, none, none)) == "**a\nb**"
+    assert one(spark, " \n ", lambda c: fn.styled(c, on, on, on, on, none, none)) == " \n "
+    assert one(spark, None, lambda c: fn.styled(c, on, on, on, on, none, none)) is None
+
+
+def test_budget_skips_what_does_not_fit(spark):
+    sizes = [3, 9, 4, None, 5, 2, 1, 0]
+    rows = [(k, i, n, "x") for k in ("a", None) for i, n in enumerate(sizes)] + [("b", 0, 11, "x")]
+    got = ordered.within_budget(spark.createDataFrame(rows, "k string, i int, n int, accepted string"), ["k"], "i", "n", 10, 8).collect()
+    want = [True, False, True, False, False, True, True, True]
+    for k in ("a", None):
+        assert [r.accepted for r in sorted((r for r in got if r.k == k), key=lambda r: r.i)] == want
+    assert len(got) == len(rows) and not any(r.accepted for r in got if r.k == "b")
+    assert ordered.within_budget(spark.createDataFrame([], "k string, i int, n int"), ["k"], "i", "n", 10, 8).count() == 0
+
+
 def test_page_ranges_and_json(spark):
     no = spark.range(1, 13).select(F.col("id").alias("no"))
     got = lambda r: [x.no for x in no.where(documents.in_ranges(F.col("no"), r)).orderBy("no").collect()]
