@@ -116,6 +116,31 @@ def test_plan_of_a_search(spark):
     assert "WindowGroupLimit" in plan and plan.count("Exchange hashpartitioning") <= 4
 
 
+def test_many_lexical_queries_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [f"w{int(x)}" for x in rng.zipf(1.4, 4000) % 300]
+    rows = [(i, " ".join(words[i * 9 : i * 9 + 3 + i % 7]) + " 受領一覧" * (i % 3), i % 2 == 0) for i in range(200)]
+    rows += [(300 + i, t, k) for i, (_, t, k) in enumerate(rows[:50])] + [(900, None, True), (901, "", False), (902, "w1", None)]  # ties
+    docs = spark.createDataFrame(rows, "id bigint, text string, kept boolean")
+    asked = docs.where("id % 3 = 0").select(F.col("id").alias("qid"), F.col("text").alias("query"))
+    index = search.build(docs, "id", "text")
+    for name, n in (("LEXICAL_QUERIES", 20), ("LEXICAL_GROUP", 30), ("PACKED", 7), ("SCORED", 14)):
+        monkeypatch.setattr(search, name, n)
+    for kept, keep in ((docs, docs.where("kept").select("id")), (docs.withColumn("kept", F.lit(True)), None)):
+        got, want = ({(r.qid, r.rank0): (r.id, round(r.score, 6)) for r in x.collect()} for x in (search.bm25_many(kept, asked, 5), search.bm25(index, asked, 5, keep)))
+        assert got == want and len(got) > 100
+    assert search.bm25_many(docs.limit(0), asked, 5).count() == 0 and search.bm25_many(docs, asked.limit(0), 5).count() == 0
+
+
+def test_postings_of_many_queries_are_no_rows(spark):
+    plan = plans.QUERIES["bm25_search_all"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" in plan and "SortMergeJoin" not in plan and "dl#" not in plan
+
+
+def test_signs_beyond_the_basic_plane_in_terms(spark):
+    assert sorted(one(spark, "\U00020BB7野家A1 ー ⺀b \U00020BB7", fn.tokens)) == sorted(["a1", "ー", "⺀", "b", "\U00020BB7野", "野家", "\U00020BB7", "a1"]) and one(spark, "ÄÖ-٣ 々", fn.tokens) == ["äö", "٣", "々"]
+
+
 def test_terms(spark):
     got = one(spark, "受領一覧 a_b.md Grazuの設定 漢 x", fn.tokens)
     assert sorted(got) == sorted(["a", "b", "md", "grazu", "x", "受領", "領一", "一覧", "の設", "設定", "漢", "a_b.md", "grazu"])
