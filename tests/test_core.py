@@ -132,8 +132,9 @@ def test_many_lexical_queries_in_blocks(spark, monkeypatch):
     assert search.bm25_many(docs.limit(0), asked, 5).count() == 0 and search.bm25_many(docs, asked.limit(0), 5).count() == 0
 
 
-def test_postings_of_many_queries_are_no_rows(spark):
-    plan = plans.QUERIES["bm25_search_all"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+@pytest.mark.parametrize("query", ["bm25_search_all", "bm25_search_filtered_all"])
+def test_postings_of_many_queries_are_no_rows(spark, query):
+    plan = plans.QUERIES[query](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroups" in plan and "SortMergeJoin" not in plan and "dl#" not in plan
 
 
