@@ -255,6 +255,39 @@ def test_as_many_candidates_at_any_number_of_shards(spark):
     assert all({(min(p), max(p)) for p in want} <= f for f in found) and len(want) > 10
 
 
+def shuffled(spark, f):
+    """Bytes that the stages of f write to shuffles."""
+    store, ends = spark.sparkContext._jsc.sc().statusStore(), []
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    for run in (lambda: None, f):
+        run()
+        spark.sparkContext.parallelize([0], 1).count()  # the id of its stage is the next one
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        ends.append(max(spark.sparkContext.statusTracker().getJobInfo(j).stageIds[0] for j in spark.sparkContext.statusTracker().getJobIdsForGroup(None)))
+    total = 0
+    for stage in range(ends[0] + 1, ends[1]):
+        try:
+            total += store.lastStageAttempt(stage).shuffleWriteBytes()
+        except Exception:  # a stage that was skipped
+            pass
+    return total
+
+
+def test_postings_travel_once_at_any_number_of_records(spark):
+    values = near_duplicates.page_rows(table(spark, DATA.replace("0.001", "0.01"), "extracted_pages"))
+    few, many = (shuffled(spark, lambda n=n: near_duplicates.candidates(values, 5, 0.7, n).count()) for n in (4, 171))
+    assert 0 < many <= 2 * few
+
+
+def test_blocks_of_postings_lose_no_pair(spark, monkeypatch):
+    values = near_duplicates.page_rows(table(spark, DATA.replace("0.001", "0.01"), "extracted_pages"))
+    found = []
+    for most in (near_duplicates.MOST_POSTINGS, 3000):
+        monkeypatch.setattr(near_duplicates, "MOST_POSTINGS", most)
+        found.append({(r.id_a, r.id_b) for r in near_duplicates.candidates(values.repartition(12), 5, 0.7).collect()})
+    assert found[0] == found[1] and len(found[0]) > 10
+
+
 def test_classes_of_copies(spark):
     same = "copied text of some length " * 10
     texts = [same] * 50 + [same + "end", "other " * 60, "", None]
