@@ -288,6 +288,17 @@ def test_blocks_of_postings_lose_no_pair(spark, monkeypatch):
     assert found[0] == found[1] and len(found[0]) > 10
 
 
+def test_runs_of_all_records_are_counted(spark):
+    n, common = 20_000, "common "
+    values = spark.range(n).select("id", F.concat(F.lit(common), F.md5(F.col("id").cast("string"))).alias("value"), F.lit(0).cast("bigint").alias("salt"))
+    rarity = near_duplicates.rarity_table(values, n, 5)
+    cells = lambda text: (near_duplicates.run_sets([text], [0], 5)[1] & np.uint64((1 << near_duplicates.COST_BITS) - 1)).astype(int)
+    assert rarity[cells(common)].max() == 0
+    seen = np.zeros(1 << near_duplicates.COST_BITS, dtype=bool)
+    seen[np.concatenate([cells(r.value) for r in values.collect()])] = True
+    assert (rarity[seen] < 255).all() and (rarity[~seen] == 255).all()
+
+
 def test_classes_of_copies(spark):
     same = "copied text of some length " * 10
     texts = [same] * 50 + [same + "end", "other " * 60, "", None]
