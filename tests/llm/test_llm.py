@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -299,6 +300,38 @@ def test_runs_of_all_records_are_counted(spark):
     assert (rarity[seen] < 255).all() and (rarity[~seen] == 255).all()
 
 
+def test_few_shards_ask_for_more_meetings(tmp_path, monkeypatch):
+    rnd, ones, looked, found = random.Random(3), np.bitwise_count, [], []
+    parts = ["".join(rnd.choices("abcdefghij ", k=60)) for _ in range(40)]
+    texts = ["".join(rnd.sample(parts, 8)) for _ in range(200)]
+    texts += [t[:200] + "z" + t[200:] for t in texts[:20]]
+    rarity = np.full(1 << near_duplicates.COST_BITS, 9, dtype=np.uint8)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array([0] * len(texts))], names=["id", "value", "salt"])
+    monkeypatch.setattr(np, "bitwise_count", lambda x: looked.__setitem__(-1, looked[-1] + len(x)) or ones(x))
+    for spare in (0, 12):
+        monkeypatch.setattr(near_duplicates, "SPARE", spare, raising=False)
+        looked.append(0)
+        groups = {}
+        for row in near_duplicates.postings(iter([batch]), 5, 0.7, rarity, 4, f"file://{tmp_path}"):
+            groups.setdefault((row.column(0)[0].as_py(), row.column(1)[0].as_py()), []).append(row)
+        met = [b for g in groups.values() for b in near_duplicates.meet(iter(g), 0.7, 4, f"file://{tmp_path}", 10**6)]
+        found.append({p for b in met for p in zip(*(c.to_pylist() for c in b.columns))})
+    assert 0 < 1.3 * looked[1] < looked[0]
+    assert brute([(i, i, t) for i, t in enumerate(texts)], 5, 0.7) <= found[0] & found[1] and len(found[1]) >= 20
+
+
+@pytest.mark.parametrize("at_once", [7, 30_000])
+def test_runs_are_those_of_each_value(at_once, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "HASH_CHARS", at_once)
+    rnd = random.Random(2)
+    values = ["".join(rnd.choices("ab語👩", k=rnd.choice([0, 1, 4, 5, 6, 40]))) for _ in range(60)]
+    rec, token, n = near_duplicates.run_sets(values, [0] * 60, 5)
+    want = [{v[i : i + 5] for i in range(len(v) - 4)} for v in values]
+    got = [set(token[rec == i].tolist()) for i in range(60)]
+    assert n.tolist() == list(map(len, want))
+    assert all(len(got[a] & got[b]) == len(want[a] & want[b]) for a in range(60) for b in range(60))
+
+
 def test_classes_of_copies(spark):
     same = "copied text of some length " * 10
     texts = [same] * 50 + [same + "end", "other " * 60, "", None]
