@@ -19,8 +19,10 @@ from __future__ import annotations
 import json
 from array import array
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import compress
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ TOKENIZERS = "/opt/tokenizers"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Distinct words a worker keeps.
 KEPT_WORDS = 400_000
+# Characters of texts whose words are read together; bytes of a word, and number of words, beyond or below which each is read alone.
+READ_CHARS, LONG_WORD, FEW_WORDS = 500_000, 200, 24
 
 
 def _byte_letters() -> dict[str, int]:
@@ -43,6 +47,18 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class Kept(dict):
+    """Values of f, kept."""
+
+    def __init__(self, f: Callable[[str], bool]):
+        super().__init__()
+        self.f = f
+
+    def __missing__(self, key: str) -> bool:
+        found = self[key] = self.f(key)
+        return found
+
+
 class MergeAutomaton(dict):
     """A mapping of words to their ids as int32 bytes, filled on demand."""
 
@@ -82,7 +98,8 @@ class MergeAutomaton(dict):
                         end += 1
                     self.inside.add((t[start:i], t[i:end]))
         self.compile()
-        self.cut: dict[str, bool] = {}
+        self._spell()
+        self.cut = Kept(lambda two: self._apart(two[0], two[1]))
         self.parts: dict[str, bytes] = {}
         self.words = regex.compile(PATTERN).findall
 
@@ -175,6 +192,112 @@ class MergeAutomaton(dict):
         ids.reverse()
         return ids
 
+    def _spell(self) -> None:
+        """The tokens' spellings as a tree of bytes (edges are the parent's number times 256 plus the byte), and arrays by id."""
+        nodes: dict[bytes, int] = {b"": 0}
+        edges: list[int] = []
+        for t in self.label:
+            for i in range(1, len(t) + 1):
+                if t[:i] not in nodes:
+                    nodes[t[:i]] = len(nodes)
+                    edges.append(nodes[t[: i - 1]] << 8 | t[i - 1])
+        order = np.argsort(np.array(edges, dtype=np.int64))
+        self.edges, self.below = np.array(edges, dtype=np.int64)[order], (order + 1).astype(np.int32)
+        self.spelled = np.full(len(nodes), -1, dtype=np.int32)
+        n = max(self.bytes_of, default=-1) + 1
+        self.sizes, self.shorter = np.zeros(n, dtype=np.int64), np.full(n, -1, dtype=np.int32)
+        self.rows_of, self.arcs_of = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        for t, i in self.label.items():
+            self.spelled[nodes[t]] = i
+            self.sizes[i], self.rows_of[i], self.arcs_of[i] = len(t), self.row[i], self.arcs[i]
+            self.shorter[i] = next((self.label[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.label), -1)
+
+    def paths(self, parts: list[bytes]) -> list[bytes]:
+        """`path` of many words at once, as int32 bytes: each step of the table is taken for all words together; the last few,
+        which take longest, and long ones take their steps alone."""
+        alone = lambda part: np.array(self.path(part), dtype=np.int32).tobytes()
+        ids: list[bytes | None] = [None if 0 < len(part) <= LONG_WORD else alone(part) for part in parts]
+        which = [k for k, found in enumerate(ids) if found is None]
+        if len(which) < FEW_WORDS:
+            return [alone(part) if found is None else found for part, found in zip(parts, ids)]
+        text = np.frombuffer(b"".join([parts[k] for k in which]), dtype=np.uint8)
+        size = np.array([len(parts[k]) for k in which], dtype=np.int64)
+        stop = np.cumsum(size)
+        start = stop - size
+        # the longest token at each place; one byte further for all places that are still within the tree
+        longest, place, node, end = np.full(len(text) + 1, -1, dtype=np.int32), np.arange(len(text)), np.zeros(len(text), dtype=np.int64), np.repeat(stop, size)
+        depth = 0
+        while len(place):
+            edge = node << 8 | text[place + depth]
+            at = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+            within = np.flatnonzero(self.edges[at] == edge)
+            place, node, end = place[within], self.below[at[within]].astype(np.int64), end[within]
+            token = self.spelled[node]
+            longest[place[token >= 0]] = token[token >= 0]
+            depth += 1
+            more = np.flatnonzero(place + depth < end)
+            place, node, end = place[more], node[more], end[more]
+        starts, stops = np.frombuffer(self.starts, dtype=np.int64), np.frombuffer(self.stops, dtype=np.int64)
+        # the token that ends before each place of a word, once that prefix is reached; words lie one place apart
+        first = start + np.arange(len(size))
+        last, shift = np.full(len(text) + len(size), -1, dtype=np.int32), np.arange(len(size))
+        word, at, token = np.arange(len(size)), first.copy(), longest[start]
+        while len(word) >= FEW_WORDS:
+            # nothing fits: back to the prefix before, and on with the next shorter token there
+            back = np.flatnonzero(token < 0)
+            if len(back):
+                if (at[back] == first[word[back]]).any():
+                    break
+                taken = last[at[back]]
+                at[back] -= self.sizes[taken]
+                token[back] = self.shorter[taken]
+            tried = np.flatnonzero(token >= 0)
+            own, here, t = word[tried], at[tried], token[tried]
+            to = here + self.sizes[t]
+            key = self.rows_of[last[here]] + self.arcs_of[t]
+            run = np.searchsorted(starts, key, side="right") - 1
+            there = (run < 0) | (key >= stops[run]) if len(stops) else np.ones(len(key), dtype=bool)
+            fits = (last[to] < 0) & (there | (here == first[own]))
+            token[tried[~fits]] = self.shorter[t[~fits]]
+            yes, to, own = tried[fits], to[fits], own[fits]
+            last[to] = t[fits]
+            at[yes] = to
+            token[yes] = longest[to - shift[own]]
+            ended = at == first[word] + size[word]
+            if ended.any():
+                word, at, token = word[~ended], at[~ended], token[~ended]
+        ready = np.ones(len(size), dtype=bool)
+        ready[word] = False
+        # back from the ends of the words along their tokens
+        on, back, from_ = np.zeros(len(last), dtype=bool), (first + size)[ready], first[ready]
+        while len(back):
+            on[back] = True
+            back = back - self.sizes[last[back]]
+            more = back > from_
+            back, from_ = back[more], from_[more]
+        found, ends = last[on].tobytes(), (np.cumsum(on)[first + size] * 4).tolist()
+        for k, done, a, b in zip(which, ready.tolist(), [0, *ends], ends):
+            ids[k] = found[a:b] if done else alone(parts[k])
+        return ids
+
+    def _cuts(self, word: str) -> list[str]:
+        """The word cut where no token holds both neighbours."""
+        at = [0, *compress(range(1, len(word)), map(self.cut.__getitem__, map(add, word, word[1:]))), len(word)]
+        return [word[i:j] for i, j in zip(at, at[1:])]
+
+    def learn(self, words: set[str]) -> None:
+        """Read all words at once that were not read yet."""
+        plain: list[str] = []
+        mixed: list[str] = []
+        for word in words.difference(self):
+            (plain if word.isascii() else mixed).append(word)
+        cuts = list(map(self._cuts, mixed))
+        new = list(set().union(*cuts).difference(self.parts))
+        found = self.paths([*map(str.encode, plain), *(p.encode("utf-8", "surrogatepass") for p in new)])
+        self.update(zip(plain, found))
+        self.parts.update(zip(new, found[len(plain) :]))
+        self.update(zip(mixed, (b"".join(map(self.parts.__getitem__, cut)) for cut in cuts)))
+
     def _apart(self, a: str, b: str) -> bool:
         """No token holds an end of a and a beginning of b."""
         x, y = a.encode("utf-8", "surrogatepass"), b.encode("utf-8", "surrogatepass")
@@ -187,20 +310,7 @@ class MergeAutomaton(dict):
         return found
 
     def __missing__(self, word: str) -> bytes:
-        if word.isascii():
-            found = np.array(self.path(word.encode()), dtype=np.int32).tobytes()
-        else:
-            out, start, cut = [], 0, self.cut
-            for i in range(1, len(word)):
-                two = word[i - 1 : i + 1]
-                apart = cut.get(two)
-                if apart is None:
-                    apart = cut[two] = self._apart(two[0], two[1])
-                if apart:
-                    out.append(self._part(word[start:i]))
-                    start = i
-            out.append(self._part(word[start:]))
-            found = b"".join(out)
+        found = np.array(self.path(word.encode()), dtype=np.int32).tobytes() if word.isascii() else b"".join(map(self._part, self._cuts(word)))
         self[word] = found
         return found
 
@@ -214,6 +324,20 @@ class MergeAutomaton(dict):
         """Ids as int32 bytes; none for null and for the empty text."""
         return b"".join(map(self.__getitem__, self.words(text))) if text else b""
 
+    def in_words(self, texts: list[str | None]) -> Iterator[list[str]]:
+        """The words of each text, read in blocks of texts, so that `self` has them all."""
+        at = 0
+        while at < len(texts):
+            words, chars, read = [], 0, at
+            while read < len(texts) and chars < READ_CHARS:
+                words.append(self.words(texts[read]) if texts[read] else [])
+                chars += len(texts[read] or "")
+                read += 1
+            self.trim()
+            self.learn(set().union(*words))
+            yield from words
+            at = read
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -244,8 +368,7 @@ def counted(batches: Iterator[pa.RecordBatch], path: str, text: int) -> Iterator
     """Replace the text column by the number of its tokens."""
     a = automaton(path)
     for batch in batches:
-        a.trim()
-        n = pa.array([len(a.encode(t)) // 4 for t in batch.column(text).to_pylist()], pa.int64())
+        n = pa.array([sum(map(len, map(a.__getitem__, words))) // 4 for words in a.in_words(batch.column(text).to_pylist())], pa.int64())
         yield pa.RecordBatch.from_arrays([*batch.columns[:text], n], names=[*batch.schema.names[:text], "n_tokens"])
 
 

@@ -108,6 +108,35 @@ def test_arcs_are_what_the_gadgets_leave():
         assert {(p, t) for p in tokens for t in tokens if a.arc(number[p], number[t])} == arcs, turn
 
 
+def odd_words():
+    rnd = random.Random(4)
+    letters = ["a", "ab", "in", "語", "が", "👩‍💻", "\ud800", "é", "1", "\n", "xx", "̈", "ﷺ"]
+    return ["".join(rnd.choices(letters, k=rnd.randrange(1, 30))) for _ in range(400)] + ["x" * 20_000, "が" * 3000, "a" * 150, "\x00"]
+
+
+@pytest.mark.parametrize("few", [2, 24, 1000])
+def test_words_read_together_equal_words_read_alone(few, monkeypatch):
+    monkeypatch.setattr(byte_pairs, "FEW_WORDS", few)
+    a = byte_pairs.automaton(byte_pairs.vocabulary())
+    words = [w.encode("utf-8", "surrogatepass") for w in odd_words()] + [b"", b"a"]
+    assert a.paths(words) == [np.array(a.path(w), dtype=np.int32).tobytes() for w in words]
+    assert a.paths([]) == []
+
+
+@pytest.mark.parametrize("step", [byte_pairs.counted])
+def test_new_words_are_read_together(step, monkeypatch):
+    path = byte_pairs.vocabulary()
+    a = byte_pairs.automaton(path)
+    texts = [None, "", *(f" Kob{i}reo triv{i}an" for i in range(3000))]
+    want = [a.encode(t) for t in texts]
+    a.clear(), a.parts.clear()
+    alone, one = [], byte_pairs.MergeAutomaton.path
+    monkeypatch.setattr(byte_pairs.MergeAutomaton, "path", lambda self, word: alone.append(word) or one(self, word))
+    got = [x for b in step(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])]), path, 0) for x in b.column(0).to_pylist()]
+    assert got == [len(x) // 4 if step is byte_pairs.counted else np.frombuffer(x, dtype=np.int32).tolist() for x in want]
+    assert len(alone) < 500 < len(a)
+
+
 def test_token_counts_equal_encoding(spark):
     texts = spark.createDataFrame([(i, t) for i, t in enumerate([*ODD, "a b a b", "a b a b"])], "text_key bigint, text string")
     a = byte_pairs.automaton(byte_pairs.vocabulary())
