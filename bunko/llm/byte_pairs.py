@@ -357,8 +357,7 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, text: int) -> Iterator
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            a.trim()
-            ids = [a.encode(t) for t in part.column(text).to_pylist()]
+            ids = [b"".join(map(a.__getitem__, words)) for words in a.in_words(part.column(text).to_pylist())]
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
             yield pa.RecordBatch.from_arrays([*part.columns[:text], column], names=[*part.schema.names[:text], "ids"])

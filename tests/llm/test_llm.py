@@ -123,7 +123,7 @@ def test_words_read_together_equal_words_read_alone(few, monkeypatch):
     assert a.paths([]) == []
 
 
-@pytest.mark.parametrize("step", [byte_pairs.counted])
+@pytest.mark.parametrize("step", [byte_pairs.encoded, byte_pairs.counted])
 def test_new_words_are_read_together(step, monkeypatch):
     path = byte_pairs.vocabulary()
     a = byte_pairs.automaton(path)
