@@ -227,6 +227,12 @@ def test_forms():
     assert lookalike.skeleton(None) is None
 
 
+def test_only_texts_beyond_the_basic_plane_are_searched_for_its_letters(monkeypatch):
+    assert lookalike.skeleton("\U0001d400é\U000e0041b") == lookalike.skeleton("Aéb")
+    monkeypatch.setattr(lookalike, "_TAGS", None)
+    assert lookalike.skeleton("Aéb\ud800") == "Ae\u0301b\ud800"
+
+
 def test_same_look_pairs_against_brute_force(spark):
     values = ["a b", "a　b", "a b", "ab", "a​b", None, "", "​", " ", "ｶﾞ", "ガ", "か", "x" * 5000, "x" * 4999 + "ｘ"]
     df = spark.createDataFrame([(i, v, "f", "l") for i, v in enumerate(values)], "page_id bigint, text string, field string, look string")
